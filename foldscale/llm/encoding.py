@@ -2,16 +2,24 @@
 
 Both tokenizers used here split a text before their merges so that a blank or a line feed between two other
 characters always starts a new piece. A text is therefore cut at those, each distinct unit is encoded by the
-library once, and the ids are strung together. A text with white space of any other form (runs, tabs, leading
-or trailing blanks, special-token strings) is encoded whole by the library.
+library once, and the ids are strung together. A new unit of Latin letters with punctuation behind them is handed
+to the library's merge model in those two parts, which are the pieces the library would make of it (a probe at
+the start makes sure of that); other new units are encoded many at a time, as one text in which a separator with
+an id of its own stands between them. A text with white space of any other form (runs, tabs,
+leading or trailing blanks, special-token strings) is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+_PUNCTUATION = '.,!?;:*$%&#|"()-=+@/'
+_PROBES = ("a", " The", " word,", " été.", "ABC!!", " x***", " Über#", " don", " ß|", " ÀÉÎÕÜ.", ",", " thing-")
+_LATIN = re.compile(r"[\0-\xff]*").fullmatch
+_UNSAFE = re.compile(r"[\s\0-\x1f]").search
 _encoders: dict = {}
 
 
@@ -29,35 +37,93 @@ def load_tokenizer(path: str):
 class UnitEncoder:
     """``encode(texts) -> list of little-endian uint32 bytes``, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.tokenizer = load_tokenizer(path)
         self.most = most
+        self.direct = False
         self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}  # the generation before; what is met again moves up
+        # a line feed where the tokenizer keeps white space, else a control character between blanks
+        keeps = len(self._ids("a\nb")) == 3
+        self.between, self.mark = ("\n", self._ids("a\nb")[1]) if keeps else (" \x01 ", self._ids("a \x01 b")[1])
+        self.model, self.keeps = self.tokenizer.model, keeps
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in printed}  # byte-level models write each byte as a printable character
+        self.shown |= {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in self.shown)}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(True))]
+        self.direct = all(self._parts(u) in (None, self.whole(u)) for u in _PROBES)
+        self.memo.clear()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, by the library's merge model."""
+        known = self.memo.get(piece) or self.old.get(piece)
+        if known is None:
+            packed = self.packed
+            if piece.isascii():
+                shown = piece.replace(" ", "\u0120")
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+            known = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
+            self.memo[piece] = known
+        return known
+
+    def _parts(self, unit: str) -> bytes | None:
+        """Ids of letters with punctuation behind them; None for a unit of another form."""
+        core = unit.rstrip(_PUNCTUATION)
+        body = core[1:] if core[:1] == " " else core
+        if not body.isalpha() or not (body.isascii() or _LATIN(body)):
+            return None
+        ids = self._piece(core if self.keeps else body.lower())
+        return ids + self._piece(unit[len(core) :]) if len(core) < len(unit) else ids
+
+    def _learn(self, units: list[str], run: int = 2000) -> None:
+        for a in range(0, len(units), run):
+            part = units[a : a + run]
+            joined = self.between.join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(part):  # a unit that holds the separator's id
+                for u in part:
+                    self.memo[u] = self.whole(u)
+                continue
+            raw, at = ids.tobytes(), 0
+            for u, b in zip(part, ends, strict=True):
+                self.memo[u] = raw[4 * at : 4 * b]
+                at = b + 1
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
 
     @staticmethod
     def safe(unit: str) -> bool:
         """Whether the unit's ids do not depend on its neighbours."""
-        if unit == "\n":
-            return True
         body = unit[1:] if unit[:1] == " " else unit
-        return bool(body) and not any(c.isspace() or c < " " for c in body)
+        return bool(body) and not _UNSAFE(body)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t else [] for t in texts]
         if len(self.memo) > self.most:
-            self.memo.clear()
-        memo = self.memo
-        fresh = [u for u in set().union(*cut) if u not in memo]
-        good = [u for u in fresh if self.safe(u)]
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        fresh = set().union(*cut) - memo.keys()
+        for u in fresh & old.keys():
+            memo[u] = old[u]
+        fresh -= memo.keys()
+        memo.update(dict.fromkeys(fresh))
+        rest = []
         for u in fresh:
-            memo[u] = None
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for u, e in zip(good, run(good, add_special_tokens=False), strict=True):
-            memo[u] = np.array(e.ids, "<u4").tobytes()
+            ids = self._parts(u) if self.direct else None
+            if ids is not None:
+                memo[u] = ids
+            elif self.safe(u):
+                rest.append(u)
+        self._learn(rest)
+        if memo.get("\n", b"") is None:
+            memo["\n"] = self.whole("\n")
         out = []
         for text, units in zip(texts, cut, strict=True):
             if not units:

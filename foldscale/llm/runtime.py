@@ -147,7 +147,9 @@ def map_groups(df: DataFrame, keys: list[str], kernel: Callable, ddl: str, parti
     groups; callers see to it that each group is bounded.
     """
     fields, arrow = schema_of(ddl)
-    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    # a stated number: adaptive execution would join small partitions, whose kernels may still have much to do
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(partitions, *keys)
     run = functools.partial(_run_groups, keys=keys, kernel=kernel, schema=arrow)
     return spread.sortWithinPartitions(*keys).mapInArrow(run, fields)
 

@@ -217,6 +217,7 @@ def _read(batch, uri):
 
 def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    files = manifest.select("file", "start").repartition(F.xxhash64("file"))
+    files = manifest.select("file", "start")
+    files = files.repartition(min(max(1, files.count()), 20_000))  # a task for each file; each is much work
     found = map_rows(files, functools.partial(_read, uri=uri), "k long, start long, n_tokens long, ids_crc32 long", 1)
     return found.select(id_of("k").alias("doc_id"), "start", "n_tokens", "ids_crc32")
