@@ -16,9 +16,12 @@ import re
 
 import numpy as np
 
+from foldscale.llm.runtime import at_task_end
+
 _PUNCTUATION = '.,!?;:*$%&#|"()-=+@/'
 _PROBES = ("a", " The", " word,", " été.", "ABC!!", " x***", " Über#", " don", " ß|", " ÀÉÎÕÜ.", ",", " thing-")
 _LATIN = re.compile(r"[\0-\xff]*").fullmatch
+_ODD_SPACE = re.compile(r"[\0-\x08\x0e-\x1f\x85\xa0]").search
 _UNSAFE = re.compile(r"[\s\0-\x1f]").search
 _encoders: dict = {}
 
@@ -104,8 +107,15 @@ class UnitEncoder:
         body = unit[1:] if unit[:1] == " " else unit
         return bool(body) and not _UNSAFE(body)
 
+    def _units(self, text: str) -> list[str]:
+        """Units of a text; none if it holds a NUL, which is the mark between them."""
+        if not self.keeps and self.direct and (text.isascii() or _LATIN(text)) and not _ODD_SPACE(text):
+            # this tokenizer lowers Latin letters one by one and drops white space
+            return text.lower().split()
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else []
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t else [] for t in texts]
+        cut = [self._units(t) if t else [] for t in texts]
         if len(self.memo) > self.most:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
@@ -138,6 +148,15 @@ class UnitEncoder:
         return out
 
 
+def _cut_back(most: int = 40_000) -> None:
+    for e in _encoders.values():
+        if len(e.memo) + len(e.old) > most:
+            e.memo, e.old = {}, {}
+
+
+at_task_end.append(_cut_back)
+
+
 def encoder(path: str) -> UnitEncoder:
     """This process's encoder for a tokenizer file."""
     if path not in _encoders:

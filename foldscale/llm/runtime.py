@@ -25,6 +25,8 @@ SLICE_ROWS = 512
 SLICE_CHARS = 400_000
 
 _written: list[str] = []
+#: Called in a worker when a task of ``map_rows`` ends: workers live on, so caches are cut back here.
+at_task_end: list[Callable[[], None]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,10 +129,18 @@ def map_rows(df: DataFrame, kernel: Callable, ddl: str, rows: int = SLICE_ROWS)
 
 
 def _run_rows(batches, kernel, schema, rows):
-    for batch in sliced(batches, rows):
-        columns = kernel(batch)
-        if columns is not None:
-            yield to_batch(columns, schema)
+    try:
+        for batch in sliced(batches, rows):
+            columns = kernel(batch)
+            if columns is not None:
+                yield to_batch(columns, schema)
+    finally:
+        task_ended()
+
+
+def task_ended() -> None:
+    for f in at_task_end:
+        f()
 
 
 def to_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:

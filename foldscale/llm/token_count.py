@@ -38,7 +38,7 @@ _compiled: dict = {}
 class CountTransducer:
     """A lazily compiled deterministic transducer over characters whose outputs are changes of the token count."""
 
-    def __init__(self, ranks: dict[str, int], most_states: int = 200_000, most_words: int = 400_000):
+    def __init__(self, ranks: dict[str, int], most_states: int = 60_000, most_words: int = 150_000):
         self.ranks = ranks
         self.prefixes = {p[:k] for p in ranks for k in range(1, len(p))}
         self.most_states, self.most_words = most_states, most_words
@@ -81,7 +81,7 @@ class CountTransducer:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             want = [right] if left is None else [left, right]
             known = self.pairs[key] = self.merged("".join(want)) == want

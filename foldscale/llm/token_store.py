@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldscale.llm.encoding import encoder
-from foldscale.llm.runtime import column, id_of, key_of, map_rows, materialize, schema_of, sliced, to_batch
+from foldscale.llm.runtime import column, id_of, key_of, map_rows, materialize, schema_of, sliced, task_ended, to_batch
 
 MAGIC = b"FSDAC001"
 BLOCK_BITS = 512
@@ -175,6 +175,7 @@ def _write(batches, uri, tokenizer, end_id, schema):
                 flush()
     if keys:
         flush()
+    task_ended()
     if rows[0]:
         yield to_batch(rows, schema)
 
@@ -208,10 +209,11 @@ def _read(batch, uri):
             dac = DacFile(f.read())
         out[0] += dac.keys.tolist()
         first = dac.first.tolist()
+        raw = dac.span(0, dac.tokens).astype("<u4").tobytes()
         for a, b in zip(first, first[1:], strict=False):
             out[1].append(base + a)
             out[2].append(b - a)
-            out[3].append(zlib.crc32(dac.span(a, b).astype("<u4").tobytes()))
+            out[3].append(zlib.crc32(raw[4 * a : 4 * b]))
     return out
 
 
