@@ -21,7 +21,7 @@ from foldscale.llm.runtime import at_task_end
 _PUNCTUATION = '.,!?;:*$%&#|"()-=+@/'
 _PROBES = ("a", " The", " word,", " été.", "ABC!!", " x***", " Über#", " don", " ß|", " ÀÉÎÕÜ.", ",", " thing-")
 _LATIN = re.compile(r"[\0-\xff]*").fullmatch
-_ODD_SPACE = re.compile(r"[\0-\x08\x0e-\x1f\x85\xa0]").search
+_PLAIN = re.compile(r"[\t-\r\x20-\x84\x86-\x9f\xa1-\xff]*").fullmatch
 _UNSAFE = re.compile(r"[\s\0-\x1f]").search
 _encoders: dict = {}
 
@@ -109,7 +109,7 @@ class UnitEncoder:
 
     def _units(self, text: str) -> list[str]:
         """Units of a text; none if it holds a NUL, which is the mark between them."""
-        if not self.keeps and self.direct and (text.isascii() or _LATIN(text)) and not _ODD_SPACE(text):
+        if not self.keeps and self.direct and _PLAIN(text):
             # this tokenizer lowers Latin letters one by one and drops white space
             return text.lower().split()
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else []

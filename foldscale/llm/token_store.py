@@ -112,17 +112,18 @@ class DacFile:
 
     def span(self, a: int, b: int) -> np.ndarray:
         """Tokens ``a`` to ``b``, exclusive."""
-        out = np.zeros(b - a, np.uint32)
-        who = np.arange(b - a)
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
-            out[who] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * level)
-            if bits is None or a == b:
+        out = self.levels[0][0][a:b].astype(np.uint32)
+        who = None  # the places in ``out`` that the level goes on with; None: all
+        for level in range(1, len(self.levels)):
+            bits, ranks = self.levels[level - 1][1:]
+            if a == b:
                 break
             low = a // 8
-            more = np.unpackbits(bits[low : -(-b // 8)], bitorder="little")[a - 8 * low : b - 8 * low].astype(bool)
-            who = who[more]
+            more = np.unpackbits(bits[low : -(-b // 8)], bitorder="little")[a - 8 * low : b - 8 * low].view(bool)
+            who = np.flatnonzero(more) if who is None else who[more]
             a = self._rank(bits, ranks, a)
             b = a + len(who)
+            out[who] |= self.levels[level][0][a:b].astype(np.uint32) << np.uint32(8 * level)
         return out
 
 
@@ -209,7 +210,7 @@ def _read(batch, uri):
             dac = DacFile(f.read())
         out[0] += dac.keys.tolist()
         first = dac.first.tolist()
-        raw = dac.span(0, dac.tokens).astype("<u4").tobytes()
+        raw = memoryview(dac.span(0, dac.tokens).astype("<u4", copy=False)).cast("B")
         for a, b in zip(first, first[1:], strict=False):
             out[1].append(base + a)
             out[2].append(b - a)
