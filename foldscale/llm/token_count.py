@@ -8,7 +8,8 @@ that ended there and the number of tokens up to there, relative to the present n
 the change of the token count. States and transitions are compiled when first needed and the table is dropped
 when it outgrows its bound, as lazy automata do; that changes no result.
 
-A word mark after another character, and a line feed, lead back to the start state whatever came before. A
+A word mark after another character, and a line feed, lead back to the start state whatever came before; so does a
+mark or digit (ASCII) after a Latin letter if, as is checked, no piece of the vocabulary holds such a pair. A
 chunk of text is therefore a map on states of a simple form: the run up to its first such point depends on the
 entering state, the rest has a fixed count, and the run after the last such point sets the leaving state. These
 maps compose associatively (``ChunkMap.then``); a text is cut into chunks whose maps are combined by a pairwise
@@ -32,18 +33,22 @@ from foldscale.llm.runtime import column, map_rows
 
 MARK = "▁"
 _RUN = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_PAIR = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ][!-@\\[-`{-~]")
+_SEAM = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\\[-`{-~])")
 _compiled: dict = {}
 
 
 class CountTransducer:
     """A lazily compiled deterministic transducer over characters whose outputs are changes of the token count."""
 
-    def __init__(self, ranks: dict[str, int], most_states: int = 60_000, most_words: int = 150_000):
+    def __init__(self, ranks: dict[str, int], most_states: int = 150_000, most_words: int = 200_000):
         self.ranks = ranks
         self.prefixes = {p[:k] for p in ranks for k in range(1, len(p))}
         self.most_states, self.most_words = most_states, most_words
         self.pairs: dict[tuple[str | None, str], bool] = {}
         self.words: dict[str, int] = {}
+        self.old: dict[str, int] = {}  # the generation before; what is met again moves up
+        self.letters_end = not any(map(_PAIR.search, ranks))
         self._reset()
 
     @classmethod
@@ -58,6 +63,7 @@ class CountTransducer:
         return cls({p.id_to_piece(i): r for r, i in enumerate(plain)})
 
     def _reset(self) -> None:
+        self.heads: dict[str, tuple[int, int]] = {}
         self.states: list[tuple] = [(("", None, 0),)]
         self.numbers = {self.states[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
@@ -81,31 +87,30 @@ class CountTransducer:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             want = [right] if left is None else [left, right]
             known = self.pairs[key] = self.merged("".join(want)) == want
         return known
 
     def step(self, state: int, char: str) -> tuple[int, int]:
-        """The next state and the change of the token count."""
+        """The next state and the change of the token count; compiled at first use."""
         go = self.next[state].get(char)
         if go is not None:
             return go
+        here = self.states[state]
         ended = None
         going = []
-        for since, token, count in self.states[state]:
+        ranks, prefixes = self.ranks, self.prefixes
+        for since, token, count in here:
             run = since + char
-            if run in self.ranks or len(run) == 1:
-                if ended is None and self.beside(token, run):
-                    own = 1 if run in self.ranks else len(char.encode("utf-8", "surrogatepass"))
-                    ended = (run, count + own)
-            if run in self.prefixes:
+            if ended is None and (run in ranks or len(run) == 1) and self.beside(token, run):
+                ended = (run, count + (1 if run in ranks else len(char.encode("utf-8", "surrogatepass"))))
+            if run in prefixes:
                 going.append((run, token, count))
         token, now = ended
         to = (*((run, t, c - now) for run, t, c in going), ("", token, 0))
-        if len(self.states) >= self.most_states:
-            here = self.states[state]
+        if len(self.states) >= self.most_states:  # start over with the present state alone
             self._reset()
             state = self._number(here)
         go = self.next[state][char] = (self._number(to), now)
@@ -122,23 +127,30 @@ class CountTransducer:
     def count_run(self, run: str) -> int:
         """Tokens of a run from the start state: a macro transition."""
         n = self.words.get(run)
+        if n is not None:
+            return n
+        n = self.old.get(run)
         if n is None:
-            if len(self.words) > self.most_words:
-                self.words.clear()
-            state = n = 0
-            for c in run:
-                if len(self.states) + 1 >= self.most_states:
-                    state, more = self._careful(state, c)
-                else:
-                    state, more = self.step(state, c)
-                n += more
-            self.words[run] = n
+            parts = _SEAM.split(run) if self.letters_end else [run]
+            if len(parts) > 1:
+                n = sum(map(self.count_run, parts))
+            else:
+                head = self.heads.get(run[:5])  # where the first five characters lead
+                if head is None:
+                    head = self.walk(0, run[:5])
+                    self.heads[run[:5]] = head
+                n = head[1] + self.walk(head[0], run[5:])[1] if len(run) > 5 else head[1]
+        if len(self.words) > self.most_words:
+            self.old, self.words = self.words, {}
+        self.words[run] = n
         return n
 
-    def _careful(self, state: int, char: str) -> tuple[int, int]:
-        here = self.states[state]
-        self._reset()
-        return self.step(self._number(here), char)
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        n = 0
+        for c in text:
+            state, more = self.next[state].get(c) or self.step(state, c)
+            n += more
+        return state, n
 
     def chunk(self, text: str) -> ChunkMap:
         """The state map of a chunk of normalised text."""
@@ -154,10 +166,11 @@ class CountTransducer:
         if len(text) <= size and "  " not in text and MARK not in text and text[-1] != " " and "\0" not in text:
             marked = (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0")
             if f"\0{MARK}\0" not in marked and not marked.startswith(MARK + "\0") and not marked.startswith(MARK * 2):
-                words, n = self.words, 0
+                count, n = self.count_run, 0
                 for run in marked.split("\0"):
-                    k = words.get(run)
-                    n += (self.count_run(run) if run else 0) if k is None else k
+                    if run:
+                        k = self.words.get(run)
+                        n += count(run) if k is None else k
                 return n
         marked = MARK + text.replace(" ", MARK)
         maps = [self.chunk(marked[at : at + size]) for at in range(0, len(marked), size)]
