@@ -62,7 +62,7 @@ def hydrogen_bonds(atoms: DataFrame) -> DataFrame:
 
 def secondary_structure(atoms: DataFrame) -> DataFrame:
     """A state per residue (H, G, I helix; E strand; C coil), from joins of the bond table with itself."""
-    hb = hydrogen_bonds(atoms)
+    hb = hydrogen_bonds(atoms).cache()  # read by a dozen joins; spills to disk, recomputed if lost
     chain = residues(atoms).select("structure_id", "res_ord", "chain_index", "residue_name", "residue_id", "chain_id", "residue_index")
     place = chain.select("structure_id", "res_ord", "chain_index")
     # helices: bonds i-1 -> i-1+n and i -> i+n inside one chain flag i .. i+n-1

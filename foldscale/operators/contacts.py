@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldscale.operators.spatial import self_pairs
+from foldscale.operators.spatial import by_structure, self_pairs
 from foldscale.sources.canonical import residues
 
 # Which kind an edge keeps; ties go to the shorter distance.
@@ -135,7 +135,7 @@ def _count_components(pdf: pd.DataFrame) -> pd.DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of components; a group is one structure's graph."""
     rows = nodes.select("structure_id", F.col("node").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(edges.select("structure_id", "a", "b"))
-    return rows.groupBy("structure_id").applyInPandas(_count_components, "structure_id string, connected_components long")
+    return by_structure(rows).groupBy("structure_id").applyInPandas(_count_components, "structure_id string, connected_components long")
 
 
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

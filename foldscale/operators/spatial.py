@@ -19,6 +19,12 @@ def largest(points: DataFrame) -> int:
     return points.groupBy("structure_id").count().agg(F.max("count")).first()[0] or 0
 
 
+def by_structure(df: DataFrame) -> DataFrame:
+    """Rows dealt by structure to a stated number of partitions, for kernels that do much work on few bytes
+    (adaptive execution would join such partitions)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "structure_id")
+
+
 def _named(df: DataFrame, suffix: str, keep: str = "structure_id") -> DataFrame:
     return df.select(keep, *(F.col(c).alias(c + suffix) for c in df.columns if c != keep))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foldscale.functions import chemistry as chem
 from foldscale.functions.geometry import sphere_points
+from foldscale.operators.spatial import by_structure
 
 PROBE = 1.4
 POINTS = np.array(sphere_points(92))
@@ -82,7 +83,7 @@ def _areas(pdf: pd.DataFrame) -> pd.DataFrame:
 def atom_sasa(atoms: DataFrame) -> DataFrame:
     """Per atom: accessible points and area in the whole structure, and with its own chain only."""
     rows = atoms.select("structure_id", "atom_ord", "chain_index", "x", "y", "z", (chem.vdw_radius(F.col("element")) + PROBE).alias("radius"))
-    return rows.groupBy("structure_id").applyInPandas(_areas, "structure_id string, atom_ord long, points long, points_alone long, sasa double, sasa_alone double")
+    return by_structure(rows).groupBy("structure_id").applyInPandas(_areas, "structure_id string, atom_ord long, points long, points_alone long, sasa double, sasa_alone double")
 
 
 def residue_sasa(atoms: DataFrame, areas: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def shape_complementarity(atoms: DataFrame, distance: float = 5.0) -> DataFrame:
     heavy = atoms.where(chem.is_heavy(F.col("element"), F.col("atom_name"))).select(
         "structure_id", "chain_label", "x", "y", "z", (chem.vdw_radius(F.col("element")) + PROBE).alias("radius")
     )
-    return heavy.groupBy("structure_id").applyInPandas(functools.partial(_scores_entry, patch=distance), "structure_id string, chain_a string, chain_b string, shape_complementarity double")
+    return by_structure(heavy).groupBy("structure_id").applyInPandas(functools.partial(_scores_entry, patch=distance), "structure_id string, chain_a string, chain_b string, shape_complementarity double")
 
 
 def _scores_entry(pdf: pd.DataFrame, patch: float = 5.0) -> pd.DataFrame:
