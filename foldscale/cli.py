@@ -15,6 +15,7 @@ from foldscale.functions.chemistry import LigandFilter
 from foldscale.operators import contacts, interactions, interface, ligands, quality, summary, superpose
 from foldscale.operators.interface import InterfaceParams
 from foldscale.plans import features as plans
+from foldscale.shared import scratch
 from foldscale.sources.canonical import residues
 from foldscale.sources.scan import parse_status, read_atoms
 
@@ -197,7 +198,8 @@ def run(spark: SparkSession, argv: list[str]) -> str:
 def main() -> None:
     spark = SparkSession.builder.appName("foldscale").getOrCreate()
     try:
-        print(run(spark, sys.argv[1:]))
+        with scratch(spark):
+            print(run(spark, sys.argv[1:]))
     except ValueError as e:
         sys.exit(f"error: {e}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscale.functions.geometry import distance, dot, sub, torsion, xyz
+from foldscale.shared import stored
 from foldscale.sources.canonical import residues
 
 _ID = ["structure_id", "res_ord", "chain_index", "chain_id", "residue_index", "residue_name", "seq_number"]
@@ -62,8 +63,8 @@ def hydrogen_bonds(atoms: DataFrame) -> DataFrame:
 
 def secondary_structure(atoms: DataFrame) -> DataFrame:
     """A state per residue (H, G, I helix; E strand; C coil), from joins of the bond table with itself."""
-    hb = hydrogen_bonds(atoms).cache()  # read by a dozen joins; spills to disk, recomputed if lost
-    chain = residues(atoms).select("structure_id", "res_ord", "chain_index", "residue_name", "residue_id", "chain_id", "residue_index")
+    hb = stored(hydrogen_bonds(atoms), "bonds")  # read by a dozen joins, as are the residues
+    chain = stored(residues(atoms).select("structure_id", "res_ord", "chain_index", "residue_name", "residue_id", "chain_id", "residue_index"), "residues")
     place = chain.select("structure_id", "res_ord", "chain_index")
     # helices: bonds i-1 -> i-1+n and i -> i+n inside one chain flag i .. i+n-1
     states = []

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldscale.functions import chemistry as chem
-from foldscale.functions.geometry import cross, dot, sub, xyz
+from foldscale.functions.geometry import cross, norm, sub, xyz
 from foldscale.operators.spatial import cross_pairs, self_pairs
+from foldscale.shared import stored
 
 KINDS = ("disulfide", "salt_bridge", "hydrogen_bond", "cation_pi", "pi_pi_parallel", "pi_pi_perpendicular", "hydrophobic")
 _OUT = ["structure_id", "kind", "atom_id_a", "atom_id_b", "res_a", "res_b", "distance"]
@@ -34,25 +35,28 @@ def _pairs_out(df: DataFrame, kind) -> DataFrame:
 
 
 def rings(atoms: DataFrame) -> DataFrame:
-    """Aromatic rings with all their atoms: centroid x, y, z and unit normal."""
-    out = None
-    rows = _points(atoms)
-    for residue, (names, third) in RINGS.items():
-        mine = rows.where((F.col("res") == residue) & F.col("name").isin(*names))
-        at = {n: F.min_by(F.when(F.col("name") == n, F.struct("x", "y", "z")), F.when(F.col("name") == n, F.col("atom_ord"))).alias(n) for n in names}
-        g = mine.groupBy("structure_id", "res_ord", "residue_id").agg(*at.values())
-        for n in names:
-            g = g.where(F.col(n).isNotNull())
-        mean = [sum((F.col(f"{n}.{c}") for n in names[1:]), F.col(f"{names[0]}.{c}")) / len(names) for c in "xyz"]
-        v = cross(sub(xyz("CD1"), xyz("CG")), sub(xyz(third), xyz("CG")))
-        size = F.sqrt(dot(v, v))
-        normal = [F.when(size > 0, c / F.when(size > 0, size)).otherwise(float(k == 2)) for k, c in enumerate(v)]
-        g = g.select(
-            "structure_id", "res_ord", "residue_id", F.concat("residue_id", F.lit(":CG")).alias("atom_id"),
-            *(m.alias(c) for m, c in zip(mean, "xyz", strict=True)), *(x.alias(f"n{c}") for x, c in zip(normal, "xyz", strict=True)),
-        )
-        out = g if out is None else out.unionByName(g)
-    return out
+    """Aromatic rings with all their atoms: centroid x, y, z and unit normal. One aggregation for all residue types."""
+    every = sorted({n for names, _ in RINGS.values() for n in names})
+    kinds = [(F.col("res") == residue, names, third) for residue, (names, third) in RINGS.items()]
+    part = F.lit(False)
+    for mine, names, _ in kinds:
+        part |= mine & F.col("name").isin(*names)
+    at = [F.min_by(F.when(F.col("name") == n, F.struct("x", "y", "z")), F.when(F.col("name") == n, F.col("atom_ord"))).alias(n) for n in every]
+    g = _points(atoms).where(part).groupBy("structure_id", "res_ord", "residue_id", "res").agg(*at)
+    points = third_point = None
+    for mine, names, third in kinds:
+        listed, third = F.array(*names), F.col(third)
+        points = F.when(mine, listed) if points is None else points.when(mine, listed)
+        third_point = F.when(mine, third) if third_point is None else third_point.when(mine, third)
+    g = g.select("structure_id", "res_ord", "residue_id", "CG", "CD1", third_point.alias("third"), points.alias("p"))
+    g = g.where(~F.exists("p", lambda q: q.isNull()))
+    mean = [F.aggregate(F.transform("p", lambda q: q[c]), F.lit(0.0), lambda s, q: s + q) / F.size("p") for c in "xyz"]  # noqa: B023
+    v = cross(sub(xyz("CD1"), xyz("CG")), sub(xyz("third"), xyz("CG")))
+    keys = ["structure_id", "res_ord", "residue_id", F.concat("residue_id", F.lit(":CG")).alias("atom_id")]
+    g = g.select(*keys, *(m.alias(c) for m, c in zip(mean, "xyz", strict=True)), F.struct(*(p.alias(c) for p, c in zip(v, "xyz", strict=True))).alias("v"))
+    g = g.withColumn("size", norm(xyz("v")))
+    normal = [F.when(F.col("size") > 0, F.col(f"v.{c}") / F.nullif("size", F.lit(0.0))).otherwise(float(c == "z")).alias(f"n{c}") for c in "xyz"]
+    return g.select("structure_id", "res_ord", "residue_id", "atom_id", "x", "y", "z", *normal)
 
 
 def polar(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
@@ -77,26 +81,29 @@ def hydrophobic(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
     return _pairs_out(self_pairs(p, 4.5, "atom_ord", grid).where(apart), F.lit("hydrophobic"))
 
 
-def cation_pi(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
+def cation_pi(atoms: DataFrame, grid: bool | None = None, found: DataFrame | None = None) -> DataFrame:
     p = _points(atoms).where(chem.is_basic_nitrogen(F.col("res"), F.col("name")))
-    r = rings(atoms).select("structure_id", "res_ord", "residue_id", "atom_id", "x", "y", "z")
+    r = (rings(atoms) if found is None else found).select("structure_id", "res_ord", "residue_id", "atom_id", "x", "y", "z")
     apart = (F.col("residue_id_a") != F.col("residue_id_b")) & (F.col("distance") < 6.0)
     return _pairs_out(cross_pairs(p, r, 6.0, grid).where(apart), F.lit("cation_pi"))
 
 
-def pi_pi(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
+def pi_pi(atoms: DataFrame, grid: bool | None = None, found: DataFrame | None = None) -> DataFrame:
     cos = F.least(F.abs(sum((F.col(f"n{c}_a") * F.col(f"n{c}_b") for c in "yz"), F.col("nx_a") * F.col("nx_b"))), F.lit(1.0))
     angle = F.degrees(F.acos(cos))
     kind = F.when(angle < 30.0, "pi_pi_parallel").when(angle.between(60.0, 90.0), "pi_pi_perpendicular")
     apart = (F.col("residue_id_a") != F.col("residue_id_b")) & (F.col("distance") < 5.5)
-    return _pairs_out(self_pairs(rings(atoms), 5.5, "res_ord", grid).where(apart), kind)
+    return _pairs_out(self_pairs(rings(atoms) if found is None else found, 5.5, "res_ord", grid).where(apart), kind)
 
 
 def interactions(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
-    """All kinds: structure_id, kind, atom ids, residue ordinals, distance."""
-    return (
-        polar(atoms, grid).unionByName(cation_pi(atoms, grid)).unionByName(pi_pi(atoms, grid)).unionByName(hydrophobic(atoms, grid)).select(*_OUT)
-    )
+    """All kinds: structure_id, kind, atom ids, residue ordinals, distance. The rings are found once."""
+    found = stored(rings(atoms), "rings")
+    parts = (cation_pi(atoms, grid, found), pi_pi(atoms, grid, found), hydrophobic(atoms, grid))
+    out = polar(atoms, grid)
+    for p in parts:
+        out = out.unionByName(p)
+    return out.select(*_OUT)
 
 
 def interaction_counts(found: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foldscale.functions.chemistry import LigandFilter
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, summary, surface
 from foldscale.operators.interface import InterfaceParams
+from foldscale.operators.spatial import GRID_FROM, largest
+from foldscale.shared import stored
 from foldscale.sources.canonical import residues
 
 _ZERO_LONG = (
@@ -26,6 +28,7 @@ _ZERO_DOUBLE = (
 
 def residue_features(atoms: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """One row per residue: area, relative area, state, torsions, mean B-factor."""
+    atoms = stored(atoms, "atoms")
     areas = areas if areas is not None else surface.atom_sasa(atoms)
     keys = ["structure_id", "res_ord"]
     r = residues(atoms).select(*keys, "residue_id", "chain_id", "residue_name", "seq_number", "bfactor_mean")
@@ -40,10 +43,12 @@ def features(
     atoms: DataFrame, ligand_filter: LigandFilter | None = None, binding_distance: float = 5.0,
     interface_params: InterfaceParams | None = None, clash_overlap: float = 0.4, grid: bool | None = None,
 ) -> DataFrame:
-    """The 54 features with structure_id and source_path. The surface is computed once and shared."""
-    areas = surface.atom_sasa(atoms).cache()
+    """The 54 features with structure_id and source_path. Atoms, areas and edges are computed once and shared."""
+    atoms = stored(atoms, "atoms")
+    grid = largest(atoms) >= GRID_FROM if grid is None else grid
+    areas = stored(surface.atom_sasa(atoms), "areas")
     nodes = residues(atoms).select("structure_id", F.col("res_ord").alias("node"))
-    edges = contacts.residue_graph(atoms, grid=grid)
+    edges = stored(contacts.residue_graph(atoms, grid=grid), "edges")
     between = contacts.interface_graph(atoms, grid=grid)
     ends = between.select("structure_id", F.explode(F.array("a", "b")).alias("n"))
     per = surface.residue_sasa(atoms, areas).groupBy("structure_id").agg(

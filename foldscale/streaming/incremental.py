@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from foldscale.plans.features import features, flat
+from foldscale.shared import scratch
 from foldscale.sources.canonical import RAW_DDL, canonicalise
 from foldscale.sources.scan import _parsed
 
@@ -23,7 +24,8 @@ def feature_stream(spark: SparkSession, source: str, target: str, checkpoint: st
     def write(batch: DataFrame, number: int) -> None:
         raw = batch.select("path", "content").mapInPandas(functools.partial(_parsed, errors=False), RAW_DDL)
         # a folder per batch: a batch that runs twice replaces its own rows
-        flat(features(canonicalise(raw).persist())).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        with scratch(spark):
+            flat(features(canonicalise(raw))).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
