@@ -245,6 +245,28 @@ def test_embedding_dedup_against_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_dedup_beyond_the_windows(spark, monkeypatch):
+    from foldscale.llm import embedding_dedup
+
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(unit(rng.standard_normal(32)) * 0.9 + unit(rng.standard_normal((3000, 32))) * 0.43)
+    twin = unit(hot[:300] + 0.4 * unit(rng.standard_normal((300, 32))))
+    x = np.concatenate([hot, twin])
+    hit = unit(x) @ unit(x).T >= 0.93
+    np.fill_diagonal(hit, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = np.arange(len(x))
+    while (new := np.where(hit, want, len(x)).min(axis=1, initial=len(x))).size and (new < want).any():
+        want = np.minimum(new, want)
+    assert 100 < len(np.unique(want)) < len(x) - 100
+    for size in (1 << 22, 1 << 14):  # all pairs; then signs and tables, as for large tables
+        monkeypatch.setattr(embedding_dedup, "BUCKET_BYTES", size)
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table, threshold=0.93, passes=1, window=2).collect()}
+        wrong = sum(got[i]["n_links"] != hit[i].sum() or got[i]["component_id"] != want[i] for i in range(len(x)))
+        assert wrong <= (0 if size > 1 << 20 else 2)
+
+
 # ---- 7 ----
 
 
