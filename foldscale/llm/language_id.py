@@ -10,14 +10,16 @@ Evidence, fused as log odds over the languages and an ``und`` class for texts th
   sums of the rows' text votes per host and per suffix; a row's own vote is left out of its host's sum.
 
 Trigram models are fitted on a bounded sample of rows with a declared language: about ``per_language`` rows for
-each, chosen by a hash of the id; ``max_languages`` bounds the models. All counts, reliabilities and priors cover
+each, chosen by a hash of the id. The ``ALWAYS`` most frequent declared languages and every further one with
+``least_rows`` rows have a model. A text declared in a language without one keeps its declaration and is accepted,
+unless a model claims it: there is no evidence against it. All counts, reliabilities and priors cover
 all rows. Hosts are aggregated with partial sums and joined by a splittable join, so a host with a third of all
 rows is no hot task.
 
 A row is rejected if no letter stands in it, if its language is ``und`` or if the posterior is below ``least``.
 
 Edge cases: null and empty texts are rejected with posterior 0; null declarations, hosts and suffixes are missing
-evidence; an unknown declaration counts as ``other``; repeated rows are scored each; a null id stays null; an
+evidence; a declared language without a model counts as ``other``; repeated rows are scored each; a null id stays null; an
 empty table gives an empty table; very long texts are scored whole, in parts.
 """
 
@@ -38,6 +40,8 @@ BUCKETS = 1 << 15
 TEMPER = 0.25
 #: Trigrams after which the text's evidence does not grow any more.
 ENOUGH = 400
+#: So many of the most frequent declared languages have a model however few their rows.
+ALWAYS = 24
 
 
 def trigram_buckets(run: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,18 +105,17 @@ class TrigramModels:
         return total * scale[:, None], count
 
 
-def fit(rows: DataFrame, per_language: int = 1500, max_languages: int = 24) -> TrigramModels:
+def fit(rows: DataFrame, per_language: int = 1500, max_languages: int | None = None, least_rows: int = 20) -> TrigramModels:
     """Trigram models from a bounded sample of the rows with a declared language."""
     known = rows.where("declared is not null and text is not null and text != ''")
-    sizes = known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(max_languages).collect()
+    sizes = known.groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()  # codes of two or three letters
+    sizes = [r for i, r in enumerate(sizes) if i < ALWAYS or r["count"] >= least_rows][:max_languages]
     if not sizes:
         return TrigramModels([], np.full((1, BUCKETS), -np.log(BUCKETS)))
     chance = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / (1 << 30)
-    wanted = None
-    for r in sizes:
-        one = (F.col("declared") == r["declared"]) & (chance < per_language / max(r["count"], 1))
-        wanted = one if wanted is None else wanted | one
-    counts = map_rows(known.where(wanted).select("declared", "text"), _counted, "lang string, bucket int, n long")
+    shares = rows.sparkSession.createDataFrame([(r["declared"], per_language / max(r["count"], 1)) for r in sizes], "declared string, share double")
+    wanted = known.join(F.broadcast(shares), "declared").where(chance < F.col("share"))
+    counts = map_rows(wanted.select("declared", "text"), _counted, "lang string, bucket int, n long")
     table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     languages = sorted(table["lang"].unique())
     weights = np.full((len(languages) + 1, BUCKETS), 0.5)
@@ -133,7 +136,8 @@ def _scored(batch, models):
 
 
 def identify(
-    rows: DataFrame, least: float = 0.5, smoothing: float = 20.0, per_language: int = 1500, max_languages: int = 24
+    rows: DataFrame, least: float = 0.5, smoothing: float = 20.0, per_language: int = 1500, max_languages: int | None = None,
+    least_rows: int = 20,
 ) -> DataFrame:
     """``rows(id, text, declared, host, suffix)`` -> id, lang, posterior, text_lang, declared, host, accepted."""
     spark = rows.sparkSession
@@ -142,7 +146,7 @@ def identify(
         "id", "text", F.when(code != "", code).alias("declared"), F.nullif("host", F.lit("")).alias("host"),
         F.nullif("suffix", F.lit("")).alias("suffix"),
     )
-    models = fit(rows, per_language, max_languages)
+    models = fit(rows, per_language, max_languages, least_rows)
     names = [*models.languages, "und"]
     scored = materialize(
         map_rows(
@@ -170,7 +174,7 @@ def identify(
         ]
 
     suffixes = scored.where("suffix is not null").groupBy("suffix").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums)))
-    suffixes = suffixes.withColumn("s_all", sum((F.col(f"s{i}") for i in index), F.lit(0.0)))
+    suffixes = suffixes.withColumn("s_all", F.aggregate(F.array(*(f"s{i}" for i in index)), F.lit(0.0), lambda a, b: a + b))
     suffixes = suffixes.select("suffix", *(p.alias(f"up{i}") for i, p in enumerate(smoothed("s", [F.lit(float(b)) for b in base]))))
     hosts = scored.where("host is not null").groupBy("host").agg(
         F.max("suffix").alias("suffix"), *(s.alias(f"h{i}") for i, s in enumerate(sums))
@@ -223,6 +227,9 @@ def _fused(batch, fusion):
     posterior = np.where(some, fused.max(axis=1), 0.0)
     text = [x.names[i] if ok else "und" for i, ok in zip(vote.argmax(axis=1), some, strict=True)]
     accepted = (best != width - 1) & some & (posterior >= x.least)
+    unknown = some & ~accepted & (said == len(x.kinds) - 1)  # declared in a language without a model
+    lang = [d if u else v for u, d, v in zip(unknown, column(batch, "declared").to_pylist(), lang, strict=True)]
+    accepted |= unknown
     return [column(batch, "id"), lang, posterior, text, column(batch, "declared"), column(batch, "host"), accepted]
 
 

@@ -356,6 +356,20 @@ def test_language_id(spark):
     assert pages_found[1]["host"] == f"www.h1.{true[1]}" and not pages_found[500]["accepted"]
 
 
+def test_language_id_of_many_languages(spark):
+    from foldscale.llm.language_id import document_rows, identify
+
+    rng = random.Random(19)
+    codes = [f"{a}{b}" for a in "abcdef" for b in "vwxyz"]  # 30 languages, each of its own letters
+    letters = {c: [chr(0x100 + 12 * i + k) for k in range(12)] for i, c in enumerate(codes)}
+    make = lambda c: " ".join("".join(rng.choices(letters[c], k=5)) for _ in range(40))
+    rows = [(100 * i + k, make(c), c, "s", 0) for i, c in enumerate(codes) for k in range(22)]
+    letters["rare"] = [chr(0x400 + k) for k in range(30)]
+    rows += [(9000 + k, make("rare"), "zz", "s", 0) for k in range(3)]
+    got = {r["id"]: r for r in identify(document_rows(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(got[i]["accepted"] and got[i]["lang"] == c for i, _, c, _, _ in rows)
+
+
 # ---- 9 ----
 
 
