@@ -13,30 +13,48 @@ from foldscale.llm.jaccard_join import jaccard_join
 from foldscale.llm.language_id import document_rows, identify
 from foldscale.llm.packing import pack
 from foldscale.llm.queries import tokenizer_path
-from foldscale.llm.runtime import fresh, importable, key_of, materialize, table, without
+from foldscale.llm.runtime import fresh, importable, key_of, materialize, table
 from foldscale.llm.secret_scan import redact
 
 
+def keyed(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """``docs`` with a row key from these columns, so that rows that share a doc_id are told apart; rows with the
+    same key are alike in all that a stage decides by (but for collisions of 64 bits)."""
+    key = fresh(docs, "_k")
+    parts = [x for c in columns if c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumn(key, F.xxhash64(*parts)), key
+
+
+def by_key(docs: DataFrame, key: str) -> DataFrame:
+    """The rows as the operators take them, with the row key as their id."""
+    return docs.select(F.col(key).alias("doc_id"), *(c for c in docs.columns if c not in ("doc_id", key)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language stay; rows without letters and rows of no known language go."""
     importable(spark)
-    found = identify(document_rows(docs))
-    return without(docs, found.where(~F.col("accepted")).select(F.col("id").alias("doc_id")))
+    rows, key = keyed(docs, "doc_id", "text", "lang", "source")
+    gone = identify(document_rows(by_key(rows, key))).where(~F.col("accepted")).select(F.col("id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; of rows that share a
-    doc_id one stays."""
+    """One document of each group of near copies stays, the one with the smallest doc_id (null before all); of rows
+    that share doc_id and text one stays."""
     importable(spark)
-    key = fresh(docs, "_k")
-    gone = jaccard_join(docs).where(~F.col("kept")).select(key_of("doc_id").alias(key))
-    left = docs.withColumn(key, key_of("doc_id")).join(gone, key, "left_anti")
-    return left.dropDuplicates([key]).drop(key)
+    rows, key = keyed(docs, "doc_id", "text")
+    found = jaccard_join(by_key(rows, key)).where("n_links > 0").select(key_of("doc_id").alias(key), key_of("class_id").alias("_class"))
+    found = found.join(rows.select(key, key_of("doc_id").alias("_id")), key).select(key, "_class", "_id").distinct()
+    first = found.groupBy("_class").agg(F.min(F.struct("_id", key))[key].alias(key)).select(key)
+    gone = found.select(key).join(first, key, "left_anti")
+    return rows.join(gone, key, "left_anti").dropDuplicates([key, "doc_id"]).drop(key)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return without(docs, contained_items(docs, table(spark, sf_dir, "benchmark")))
+    rows, key = keyed(docs, "doc_id", "text")
+    gone = contained_items(by_key(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -478,3 +478,22 @@ def test_pipeline_stages(spark):
     for _, stage in pipeline.STAGES:
         docs = materialize(stage(spark, docs, "/root/testdata/sf0.001"), "test-odd")
     assert {r["doc_id"] for r in docs.collect()} <= {None}
+
+
+def test_pipeline_decides_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+
+    folder = "/root/testdata/sf0.001"
+    item = max((r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()), key=len)
+    rng = random.Random(12)
+    texts = [words(rng, 80) for _ in range(6)]
+    rows = [(i, t, "en", "s", 0) for i, t in zip([None, None, None, 7, 7, 8], texts, strict=True)]
+    docs = spark.createDataFrame([*rows, (None, "", "en", "s", 0), rows[0]], DOCS)
+    left = [r["text"] for r in pipeline.language(spark, docs, folder).collect()]
+    assert sorted(left) == sorted([*texts, texts[0]])
+    copies = [*rows, rows[0], (3, texts[1], "en", "s", 0), (9, texts[3], "en", "s", 0), (5, texts[5], "en", "s", 0)]
+    left = pipeline.near_copies(spark, spark.createDataFrame(copies, DOCS), folder).collect()
+    got = sorted((r["text"], r["doc_id"] or -1) for r in left)
+    assert got == sorted(zip(texts, [-1, -1, -1, 7, 7, 5], strict=True))
+    docs = spark.createDataFrame([*rows, (None, item, "en", "s", 0), (7, item, "en", "s", 0)], DOCS)
+    assert sorted(r["text"] for r in pipeline.leaks(spark, docs, folder).collect()) == sorted(texts)
