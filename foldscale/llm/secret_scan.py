@@ -12,7 +12,8 @@ Base kinds: ``assign``, ``access``, ``hex``. Kinds that the method adds, each wi
 * ``forge``  -- ``gh[pousr]_`` and 36 base-62 characters, the last six the CRC-32 of the thirty before them;
 * ``npm``    -- ``npm_`` likewise;
 * ``card``   -- a payment card number of 13 to 19 digits (single blanks or hyphens between them) within 24
-  characters of the word ``card``, with a valid Luhn digit.
+  characters before or after the word ``card``, with a valid Luhn digit. Where blanks join other digits to a number,
+  the earliest start and the longest reading with a valid digit count.
 
 Edge cases: a null text counts as empty; empty texts have no spans and the digest of the empty string; repeated
 rows are scanned each; other columns are ignored by ``scan`` and kept by ``redact``; an empty table gives an
@@ -80,6 +81,21 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
+def _cards(raw: bytes, at: int, last: int, stop: int, least: int):
+    """Card numbers that start at ``at`` to ``last`` and end at ``least`` to ``stop``."""
+    while at <= last and (m := _CARD.search(raw, at, stop)) and m.start() <= last:
+        at = m.start() + 1
+        places = [i for i in range(m.start(), m.end()) if 48 <= raw[i] <= 57]
+        for n in range(len(places), 12, -1):
+            end = places[n - 1] + 1
+            if end < least:
+                break
+            if not raw[end : end + 1].isdigit() and luhn(bytes(raw[i] for i in places[:n])):
+                yield m.start(), end
+                at = end
+                break
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """All ``(kind, start, end)`` of a text, by start and then by kind as listed; code points, end exclusive."""
     if not text:
@@ -90,12 +106,10 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     for end, (length, kind) in automaton().iter(raw.decode("ascii").lower()):
         at = end - length + 1
         if kind == "card":
-            at = max(done["card"], end + 1)
-            m = _CARD.search(raw, at, end + 1 + 24 + 37)
-            if m and m.start() - end <= 24:
-                done["card"] = m.end()
-                if luhn(re.sub(rb"[ -]", b"", m[0])):
-                    found.append(("card", m.start(), m.end()))
+            for first, last, stop, least in ((at - 60, at, at, at - 23), (end + 1, end + 24, end + 62, 0)):
+                for x, y in _cards(raw, max(done["card"], first), last, stop, least):
+                    found.append(("card", x, y))
+                    done["card"] = y
             continue
         if at < done[kind]:
             continue

@@ -69,6 +69,17 @@ def test_secret_scan_checksums_and_redaction(spark):
 # ---- 2 ----
 
 
+def test_secret_scan_cards_beside_other_digits():
+    number = "4111 1111 1111 1111"
+    for t in ("card {} 12/27", "card {} 123", "card no 5 {}", "{} is my card", "card 4111 1111 1111 1112, {}", "card {}", "cards: 12 35 {} 99"):
+        a = t.index("{")
+        assert ("card", a, a + len(number)) in secret_scan.find_secrets(t.format(number)), t
+    two = f"card {number}, {number}"
+    assert secret_scan.find_secrets(two) == [("card", 5, 24), ("card", 26, 45)]
+    for t in (f"{number}{'.' * 25}card", f"card{'.' * 25}{number}", "card 41111111111111111111"):
+        assert not secret_scan.find_secrets(t)
+
+
 def test_substring_dedup_finds_shifted_passages(spark):
     from foldscale.llm.substring_dedup import cut_spans, repeated_spans
 
