@@ -243,6 +243,27 @@ def cells(df: DataFrame, block: str, blocks: str) -> DataFrame:
     )
 
 
+#: A key that holds more than one row in so many is dealt out to as many tasks.
+HOT = 2000
+
+
+def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``found``, one row of which stands for each of ``keys`` and says in ``count`` how many
+    ``rows`` hold it, so that hot keys can be split.
+
+    At most ``HOT`` keys can hold more than a ``HOT``-th of all those rows each: only their names are broadcast.
+    Their rows are dealt out by ``spread`` to ``HOT / 8`` salts, for each of which ``found`` has a copy. (The limit
+    below states that bound; a hot key left out of the broadcast would be joined all the same, in one task.)
+    """
+    total = found.agg(F.sum(count)).first()[0] or 0
+    limit, salts = max(1000, total // HOT), HOT // 8
+    hot = found.where(F.col(count) > limit).select(*keys, F.lit(True).alias("_hot")).limit(HOT)
+    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_hot")
+    copies = F.explode(F.when(F.col(count) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
+    return left.join(found.select("*", copies), [*keys, "_salt"]).drop("_salt")
+
+
 def smallest_reachable(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix of links, the smallest name in each row's component."""
     labels = names.copy()
