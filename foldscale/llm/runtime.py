@@ -243,21 +243,50 @@ def cells(df: DataFrame, block: str, blocks: str) -> DataFrame:
     )
 
 
+def bit_words(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of ``2 ** bits`` bits, packed, in which the leading bits of a long column's values are set: at most
+    ``2 ** (bits - 6)`` rows come to the driver, however large ``df``."""
+    at = F.shiftrightunsigned(column, 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+    words = df.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(one).alias("w")).toArrow()
+    table = np.zeros(1 << (bits - 6), "<i8")
+    table[words.column("at").to_numpy()] = words.column("w").to_numpy()
+    return table.view(np.uint8)
+
+
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a packed table."""
+    at = h.view(np.uint64) >> np.uint64(64 - (len(table).bit_length() + 2))
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _sifted(batch, table, name):
+    return list(batch.filter(pa.array(passes(table.value, number(column(batch, name))))).columns)
+
+
+def sifted(df: DataFrame, name: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """``df`` without most of the rows whose long ``name`` is not in ``wanted``, by a table of fixed size (4 MB): spares a
+    join behind it a shuffle as long as ``wanted`` has some 100 million values at most, and changes no result."""
+    table = df.sparkSession.sparkContext.broadcast(bit_words(wanted, name, bits))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_rows(df, functools.partial(_sifted, table=table, name=name), ddl, 4096)
+
+
 #: A key that holds more than one row in so many is dealt out to as many tasks.
 HOT = 2000
 
 
 def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], count: str, spread: str) -> DataFrame:
-    """``rows`` with the columns of ``found``, one row of which stands for each of ``keys`` and says in ``count`` how many
-    ``rows`` hold it, so that hot keys can be split.
+    """``rows`` joined with ``found``, which says in ``count`` how many ``rows`` hold each of its ``keys``, so that hot keys
+    can be split.
 
     At most ``HOT`` keys can hold more than a ``HOT``-th of all those rows each: only their names are broadcast.
     Their rows are dealt out by ``spread`` to ``HOT / 8`` salts, for each of which ``found`` has a copy. (The limit
     below states that bound; a hot key left out of the broadcast would be joined all the same, in one task.)
     """
-    total = found.agg(F.sum(count)).first()[0] or 0
-    limit, salts = max(1000, total // HOT), HOT // 8
-    hot = found.where(F.col(count) > limit).select(*keys, F.lit(True).alias("_hot")).limit(HOT)
+    sizes = found.select(*keys, count).distinct()
+    limit, salts = max(1000, (sizes.agg(F.sum(count)).first()[0] or 0) // HOT), HOT // 8
+    hot = sizes.where(F.col(count) > limit).select(*keys, F.lit(True).alias("_hot")).limit(HOT)
     dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_hot")
     copies = F.explode(F.when(F.col(count) > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")

@@ -269,36 +269,143 @@ def test_token_count_against_the_library(spark):
     assert count_tokens(empty(spark), path).count() == 0
 
 
+def test_token_count_chunk_maps_and_their_scan():
+    import sentencepiece
+
+    from foldscale.llm import token_count
+
+    path = public.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    machine = token_count.CountTransducer.from_model(path)
+    rng = random.Random(11)
+    text = " ".join(rng.choice(["hello", "wörld", "x=1", "a\nb", "中文字", "  ", "unbroken" * 9]) for _ in range(300))
+    marked = token_count.MARK + text.replace(" ", token_count.MARK)
+    whole = len(library.encode(text))
+    for size in (1, 7, 64, 1000, 10**6):
+        maps = machine.scan(marked, size)
+        assert len(maps) == -(-len(marked) // size) and maps[-1](token_count._START)[1] == whole
+        for at in range(0, len(maps), max(1, len(maps) // 7)):  # every prefix, as read from the left
+            assert maps[at](token_count._START)[1] == machine.walk(0, marked[: (at + 1) * size])[1]
+    # a map holds for entering states that it was not made for, and composition is associative
+    a, b, c = (machine.chunk_map(marked, at, 50) for at in (100, 150, 200))
+    for state in machine.states[::97]:
+        assert a.then(b).then(c)(state) == a.then(b.then(c))(state)
+    before = sum(map(len, machine.words))
+    for n in range(12):
+        run = "".join(rng.choices("abcdefgh", k=3000))
+        assert machine.count(run) == len(library.encode(run))
+    assert sum(map(len, machine.words)) - before < 5000 and max(map(len, machine.words)) <= token_count.REMEMBERED
+
+
 # ---- 5 ----
 
 
+QUESTION = "If Maria Lopez drives 120 km in 2 hours and then Maria Lopez rests for 30 minutes , how far will she have come after 5 hours of travel"
+CHANGED = QUESTION.replace("Maria", "Pedro").replace("Lopez", "Ortiz").replace("120", "95").replace("30 minutes", "15 minutes")
+
+
 def test_decontamination(spark):
     from foldscale.llm.decontaminate import contained_items
 
     rng = random.Random(2)
-    question = "If Maria Lopez drives 120 km in 2 hours and then Maria Lopez rests for 30 minutes , how far will she have come after 5 hours of travel"
-    items = [(i, words(rng, rng.randint(13, 60), "q")) for i in range(20)] + [(50, question), (51, "tiny item"), (52, ""), (53, None), (None, words(rng, 20, "z"))]
-    changed = question.replace("Maria", "Pedro").replace("Lopez", "Ortiz").replace("120", "95").replace("30 minutes", "15 minutes")
-    broken = question.replace("then Maria", "then Pedro")
+    items = [(i, words(rng, rng.randint(13, 60), "q")) for i in range(20)] + [(50, QUESTION), (51, "tiny item"), (52, ""), (53, None), (None, words(rng, 20, "z"))]
+    broken = CHANGED.replace("then Pedro", "then Maria")
     rows = [(i, words(rng, 80)) for i in range(30)]
     rows += [(100 + i, f"{words(rng, 40)} {t} {words(rng, 40)}") for i, t in items[:20]]
-    rows += [(200, f"A b. {changed}. End"), (201, question.upper()), (202, f"x {broken} y"), (203, "a TINY, item b"), (204, None), (205, "")]
-    rows += [(206, items[-1][1]), (207, ("filler " * 500_000) + items[3][1] + (" filler" * 50)), (None, items[0][1]), (100, rows[30][1])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (8_000_000, 300):  # in one slice and in many
+    rows += [(200, f"A b. {CHANGED}. End"), (201, QUESTION.upper()), (202, f"x {broken} y"), (203, "a TINY, item b"), (204, None), (205, "")]
+    rows += [(206, items[-1][1]), (207, ("filler " * 500_000) + items[3][1] + (" filler" * 50)), (None, items[0][1]), (100, rows[30][1]), (100, "another text")]
+    bench = spark.createDataFrame([(*x, "y", 1) for x in items], "item_id long, text string, doc_id string, k int")
+    found = []
+    for limit in (8_000_000, 300):  # as an index, and joined by Spark
         got = contained_items(clashing(spark, rows), bench, slice_chars=limit).collect()
+        found.append(sorted(map(str, got)))
         pairs = sorted({(r["doc_id"], r["item_id"]) for r in got}, key=str)
         want = {(100 + i, i) for i in range(20)} | {(200, 50), (201, 50), (203, 51), (206, None), (207, 3), (None, 0)}
         assert set(pairs) == want
         assert len(got) == len(want) + 1  # the repeated row
+        assert contained_items(empty(spark), bench, slice_chars=limit).count() == 0
+    assert found[0] == found[1]
     kinds = {(r["doc_id"], r["item_id"]): r["match"] for r in got}
     assert kinds[200, 50] == "template" and kinds[201, 50] == "literal"
     at = next(r for r in got if r["doc_id"] == 207)
     assert dict(rows)[207][at["start"] : at["end"]] == items[3][1]
-    assert contained_items(empty(spark), bench).count() == 0
     assert contained_items(documents(spark, rows[:3]), bench.limit(0)).count() == 0
 
 
+def contained(text, *items, coverage=0.8):
+    from foldscale.llm.decontaminate import Benchmark, matches
+
+    return {r[1]: r for r in matches([text], Benchmark(list(enumerate(items))), coverage)}
+
+
+def test_decontamination_slots():
+    broken = CHANGED.replace("then Pedro", "then Maria")
+    assert contained(CHANGED, QUESTION)[0][2] == 1.0
+    for text in (f"{broken} . {CHANGED}", f"{CHANGED} . {broken}", f"{broken} {CHANGED} {broken}"):
+        r = contained(text, QUESTION)[0]
+        assert text[r[3] : r[4]] == CHANGED
+    assert not contained(broken, QUESTION)
+    # a window with four slots tells of the conflict
+    assert not contained(QUESTION.replace("then Maria", "then Pedro").replace("120", "77"), QUESTION)
+    # two values of the item may become one
+    assert contained(QUESTION.replace("120", "5").replace("30", "5"), QUESTION)
+    # dense windows count too
+    dense = "Add 3 and 4 to 5 6 7 8 9 , then Ana Eva Ida 10 11 12 say so aloud"
+    other = "Add 13 and 14 to 15 16 17 18 19 , then Bea Lea Mia 20 21 22 say so aloud"
+    assert contained(other, dense)[0][2:] == (1.0, 0, len(other), False)
+    assert not contained(other.replace("18 19", "16 19").replace("Add 13", "Add 1 and 2 and 13"), dense.replace("4", "7", 1))
+    assert not contained("1 2 3 4 5 6 7", "9 8 7 6 5 4 3")
+    # equal stretches: the first
+    assert contained(f"x {QUESTION} y {QUESTION}", QUESTION)[0][3] == 2
+
+
+def brute_contained(text, item, coverage=0.8):
+    """Slides the item over the text; no edits of length."""
+    from foldscale.llm.decontaminate import NAME, NUM, UNITS, WINDOW
+
+    def tokens(s):
+        out = []
+        for m in re.finditer(r"\w+(?:(?<=\d)[.,](?=\d)\w+)*", s):
+            w = m[0]
+            kind = NUM if w[0].isdigit() else NAME if len(w) > 1 and w[0].isupper() and w[1].islower() else 0
+            if w.lower() in UNITS and out and out[-1][0] == NUM:
+                kind = 2
+            out.append((kind, w.lower()))
+        return out
+
+    a, b = tokens(item), tokens(text)
+    n = len(a) - WINDOW + 1
+    for s in range(len(b) - len(a) + 1):
+        pair = list(zip(a, b[s : s + len(a)], strict=True))
+        exact = [x[1] == y[1] for x, y in pair]
+        same = [x == y if not x[0] else x[0] == y[0] for x, y in pair]
+        literal = {p for p in range(n) if all(exact[p : p + WINDOW])}
+        loose = {p for p in range(n) if all(same[p : p + WINDOW])} | literal
+        seen, fine = {}, True
+        for t in {p + k for p in loose for k in range(WINDOW)}:
+            if pair[t][0][0] and same[t]:
+                fine &= seen.setdefault(pair[t][0], pair[t][1][1]) == pair[t][1][1]
+        if len(loose if fine else literal) >= coverage * n:
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force():
+    rng = random.Random(22)
+    plain = "the cat sat on a mat while rain fell over old roofs and two dogs ran by".split()
+    for _ in range(400):
+        item = [rng.choice([*plain, str(rng.randint(1, 9)), rng.choice(["Ana", "Eva"]), "km"]) for _ in range(rng.randint(8, 24))]
+        change = {str(i): str(rng.randint(1, 12)) for i in range(1, 10)} | {"Ana": "Ida", "Eva": rng.choice(["Ida", "Lea"])}
+        copy = [change.get(w, w) for w in item]
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(len(copy))] = rng.choice([*plain, "7", "Mia"])
+        text = " ".join([*rng.choices(plain, k=rng.randint(0, 9)), *copy, *rng.choices(plain, k=rng.randint(0, 9))])
+        item = " ".join(item)
+        if sum(w in plain for w in item.split()) < len(item.split()) * 0.6:
+            continue  # windows without two words are not looked for
+        assert bool(contained(text, item)) == brute_contained(text, item), (item, text)
+
+
 # ---- 6 ----
 
 
@@ -455,6 +562,18 @@ def test_language_id_of_many_languages(spark):
     assert all(got[i]["accepted"] and got[i]["lang"] == c for i, _, c, _, _ in rows)
 
 
+def test_language_evidence_of_long_texts_in_parts():
+    from foldscale.llm.language_id import BUCKETS, TrigramModels
+
+    rng = random.Random(3)
+    models = TrigramModels(["a", "b"], np.random.default_rng(1).standard_normal((3, BUCKETS)))
+    texts = [words(rng, 3000), "éèÉ" * 2000, "x y " * 900, "", "one"]
+    whole = models.evidence(texts)
+    for size in (10, 997, 4000):
+        part = models.evidence(texts, size)
+        assert np.allclose(part[0], whole[0]) and np.array_equal(part[1], whole[1])
+
+
 # ---- 9 ----
 
 
@@ -485,6 +604,35 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert score_quality(empty(spark), model).count() == 0
 
 
+def test_quality_of_long_texts_in_parts():
+    from foldscale.llm.quality import BUCKETS, QualityModel, features
+
+    rng = random.Random(3)
+    model = QualityModel(np.random.default_rng(1).standard_normal(BUCKETS), 0.1)
+    texts = [words(rng, 3000) + " a a b a b " * 50, "é" * 5000, "x y " * 900, "", "one"]
+    whole = model.scores(texts)
+    for size in (100, 997, 4000):
+        assert np.allclose(model.scores(texts, size), whole, atol=1e-9)
+    # and whatever stands beside them
+    assert np.allclose([model.scores([t])[0] for t in texts], whole, atol=1e-9)
+    assert all(len(h) == len(t) - n + 2 for t in ("abcdef", "some words") for n, (h, _) in zip((3, 4), features([t]), strict=False))
+
+
+def test_quality_of_repeated_ids_and_bounds(spark):
+    from foldscale.llm.quality import score_quality, train
+
+    rng = random.Random(30)
+    rows = [(i, words(rng, 50) if i % 2 else "BUY !! " * 40) for i in range(120)]
+    rows += [(i, words(rng, 60)) for i in range(0, 120, 5)]  # a second text of the same id
+    labels = spark.createDataFrame([(i, i % 2, 0, "z", 1) for i in range(120)], "doc_id long, quality int, toxic int, text string, y int")
+    docs = clashing(spark, rows)
+    scores = [sorted((r["doc_id"], r["score"]) for r in score_quality(d, train(d, labels)).collect()) for d in (docs, docs.repartition(5))]
+    assert scores[0] == scores[1]
+    few = train(docs, labels, sample_chars=2000)
+    assert few.bias != 0 and np.count_nonzero(few.folded) > 0
+    assert score_quality(docs.limit(1), train(docs, labels, sample_chars=3)).first()["score"] == 0.5
+
+
 # ---- 10 ----
 
 
@@ -512,12 +660,13 @@ def test_token_store_round_trip(spark, tmp_path):
     library = Tokenizer.from_file(path)
     rng = random.Random(6)
     rows = [(i, words(rng, rng.choice([1, 40, 300]))) for i in rng.sample(range(5000), 90)]
-    rows += [(6001, None), (6002, ""), (6003, "Tab\there  ÉTÉ\n"), (None, "first"), (7, "x y"), (7, "x y")]
+    rows += [(6001, None), (6002, ""), (6003, "Tab\there  ÉTÉ\n"), (7, "x y"), (7, "x y"), *((None, words(rng, 9)) for _ in range(60))]
     rows = [r for n, r in enumerate(rows) if r[0] != 7 or n >= 90]
     manifest = token_store.write_tokens(clashing(spark, rows), str(tmp_path / "store"), path)
     got = sorted(token_store.read_tokens(spark, str(tmp_path / "store"), manifest).collect(), key=lambda r: (r["start"]))
     at = 0
-    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")), strict=True):
+    place = {(r["doc_id"], r["text"]): r["t"] for r in documents(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], place[r])), strict=True):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
