@@ -8,33 +8,39 @@ that ended there and the number of tokens up to there, relative to the present n
 the change of the token count. States and transitions are compiled when first needed and the table is dropped
 when it outgrows its bound, as lazy automata do; that changes no result.
 
-A word mark after another character, and a line feed, lead back to the start state whatever came before; so does a
-mark or digit (ASCII) after a Latin letter if, as is checked, no piece of the vocabulary holds such a pair. A
-chunk of text is therefore a map on states of a simple form: the run up to its first such point depends on the
-entering state, the rest has a fixed count, and the run after the last such point sets the leaving state. These
-maps compose associatively (``ChunkMap.then``); a text is cut into chunks whose maps are combined by a pairwise
-scan. Runs between two such points are macro transitions from the start state to itself, kept in a bounded memo.
+A text is cut into chunks of ``CHUNK`` characters, wherever they fall. The map of a chunk lists entering states with the
+leaving state and the number of tokens emitted for each. A word mark after another character, and a line feed, lead
+back to the start state whatever came before; so does a mark or digit (ASCII) after a Latin letter if, as is checked,
+no piece of the vocabulary holds such a pair. What stands after a chunk's first such point is therefore the same for
+all entering states and read once; only what stands before it is read for each. Which states can enter a chunk is
+told by the ``LOOK`` characters before it, without the chunks before; where these hold no such point the state is a guess, and
+an entering state that a map does not list is added to it when a composition asks for it. Maps compose associatively (``then``), and
+an inclusive prefix scan (log2(chunks) rounds, in each of which all compositions are independent) gives the count and
+the state after every chunk. Runs between two such points are maps from the start state to itself; their counts are
+kept in a memo, bounded in entries and in characters an entry.
 
 Edge cases: a null text counts as empty and has no tokens; blanks, runs of blanks, control characters and
 unknown characters count as the library counts them (byte pieces); strings of special tokens inside a text are
-ordinary text; repeated rows are counted each; an empty table gives an empty table.
+ordinary text; repeated rows are counted each; an empty table gives an empty table; other columns are ignored,
+whatever their names; very long texts are many chunks, and unbroken ones are not remembered.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldscale.llm.runtime import column, map_rows
+from foldscale.llm.runtime import at_task_end, column, map_rows
 
 MARK = "▁"
 _RUN = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _PAIR = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ][!-@\\[-`{-~]")
 _SEAM = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\\[-`{-~])")
+#: Characters of a chunk, those looked at before it, and of the longest run that is remembered.
+CHUNK, LOOK, REMEMBERED = 4096, 64, 48
 _compiled: dict = {}
 
 
@@ -63,8 +69,8 @@ class CountTransducer:
         return cls({p.id_to_piece(i): r for r, i in enumerate(plain)})
 
     def _reset(self) -> None:
-        self.heads: dict[str, tuple[int, int]] = {}
-        self.states: list[tuple] = [(("", None, 0),)]
+        self.heads: dict[str, tuple[tuple, int]] = {}
+        self.states: list[tuple] = [_START]
         self.numbers = {self.states[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -137,12 +143,14 @@ class CountTransducer:
             else:
                 head = self.heads.get(run[:5])  # where the first five characters lead
                 if head is None:
-                    head = self.walk(0, run[:5])
-                    self.heads[run[:5]] = head
-                n = head[1] + self.walk(head[0], run[5:])[1] if len(run) > 5 else head[1]
-        if len(self.words) > self.most_words:
-            self.old, self.words = self.words, {}
-        self.words[run] = n
+                    if len(self.heads) > self.most_words:
+                        self.heads = {}
+                    head = self.heads[run[:5]] = self.leads(_START, run[:5])
+                n = head[1] + self.walk(self._number(head[0]), run[5:])[1] if len(run) > 5 else head[1]
+        if len(run) <= REMEMBERED:
+            if len(self.words) > self.most_words:
+                self.old, self.words = self.words, {}
+            self.words[run] = n
         return n
 
     def walk(self, state: int, text: str) -> tuple[int, int]:
@@ -152,73 +160,125 @@ class CountTransducer:
             n += more
         return state, n
 
-    def chunk(self, text: str) -> ChunkMap:
-        """The state map of a chunk of normalised text."""
-        runs = _RUN.findall(text)
-        if len(runs) < 2:
-            return ChunkMap(text, None, "")
-        return ChunkMap(runs[0], sum(map(self.count_run, runs[1:-1])), runs[-1])
+    def leads(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The same for states as such, which outlive the table."""
+        number, n = self.walk(self._number(state), text)
+        return self.states[number], n
+
+    def count_closed(self, text: str) -> int:
+        """Tokens of whole runs: the composition of their maps, all from the start state to itself."""
+        if MARK * 2 in text or "\0" in text:
+            return sum(map(self.count_run, _RUN.findall(text)))
+        known, n = self.words, 0
+        for run in text.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0"):
+            if run:
+                k = known.get(run)
+                if k is None:
+                    k = self.count_run(run)
+                    known = self.words
+                n += k
+        return n
 
-    def count(self, text: str, size: int = 65_536) -> int:
+    def chunk_map(self, text: str, at: int, size: int) -> ChunkMap:
+        """The map of ``text[at : at + size]``."""
+        end = min(len(text), at + size)
+        first = _POINT.search(text, at, end)
+        if first is None:
+            made = ChunkMap(self, head=text[at:end])
+        else:
+            last = end - 1
+            while not _POINT.match(text, last):
+                last -= 1
+            leaving, n = self.leads(_START, text[last:end])
+            n += self.count_closed(text[first.start() : last])
+            made = ChunkMap(self, head=text[at : first.start()], rest=(leaving, n))
+        if at and made.head:  # the state that the characters before lead to
+            low = max(0, at - LOOK)
+            for x in range(at - 1, low - 1, -1):
+                if _POINT.match(text, x):
+                    low = x
+                    break
+            made(self.leads(_START, text[low:at])[0])
+        else:
+            made(_START)
+        return made
+
+    def scan(self, text: str, size: int = CHUNK) -> list[ChunkMap]:
+        """For each chunk of normalised text the map of all text up to its end: an inclusive prefix scan."""
+        maps = [self.chunk_map(text, at, size) for at in range(0, len(text), size)]
+        step = 1
+        while step < len(maps):
+            maps = [maps[i - step].then(m) if i >= step else m for i, m in enumerate(maps)]
+            step *= 2
+        return maps
+
+    def count(self, text: str, size: int = CHUNK) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        if len(text) <= size and "  " not in text and MARK not in text and text[-1] != " " and "\0" not in text:
-            marked = (MARK + text).replace(" ", "\0" + MARK).replace("\n", "\0\n\0")
-            if f"\0{MARK}\0" not in marked and not marked.startswith(MARK + "\0") and not marked.startswith(MARK * 2):
-                count, n = self.count_run, 0
-                for run in marked.split("\0"):
-                    if run:
-                        k = self.words.get(run)
-                        n += count(run) if k is None else k
-                return n
-        marked = MARK + text.replace(" ", MARK)
-        maps = [self.chunk(marked[at : at + size]) for at in range(0, len(marked), size)]
-        while len(maps) > 1:  # a pairwise scan: log2(chunks) rounds of independent compositions
-            maps = [maps[i].then(maps[i + 1], self) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0].total(self)
-
-
-@dataclass(frozen=True)
+        return self.scan(MARK + text.replace(" ", MARK), size)[-1](_START)[1]
+
+    def trim(self) -> None:
+        """Give back what a long task has piled up."""
+        self.old, self.heads = {}, {}
+        if len(self.states) > self.most_states // 2:
+            self._reset()
+
+
+_START = (("", None, 0),)
+#: Where the machine starts anew: a mark after another character, before and after a line feed.
+_POINT = re.compile(f"(?<!{MARK}){MARK}|\n|(?<=\n).", re.S)
+
+
 class ChunkMap:
-    """What a chunk does to any entering state: ``head`` is read from it, ``body`` tokens follow, ``tail`` is left open.
+    """What a chunk does: parallel lists of entering states, leaving states and numbers of tokens emitted.
 
-    ``body`` is None while the chunk has no point that leads back to the start state; then ``head`` is all of it.
+    ``head`` is read from each entering state; ``rest``, if there is any, has one leaving state and number for all.
+    A composition has two ``parts`` instead.
     """
 
-    head: str
-    body: int | None
-    tail: str
-
-    def then(self, other: ChunkMap, machine: CountTransducer) -> ChunkMap:
-        if self.body is None:
-            seam = machine.chunk_runs(self.head + other.head)
+    __slots__ = ("machine", "head", "rest", "parts", "entering", "leaving", "emitted")
+
+    def __init__(self, machine: CountTransducer, head: str = "", rest: tuple | None = None, parts: tuple | None = None):
+        self.machine, self.head, self.rest, self.parts = machine, head, rest, parts
+        self.entering: list[tuple] = []
+        self.leaving: list[tuple] = []
+        self.emitted: list[int] = []
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        """The leaving state and the tokens emitted for an entering state; an unlisted one is added."""
+        if not self.head and self.rest is not None:
+            return self.rest
+        for known, to, n in zip(self.entering, self.leaving, self.emitted, strict=True):
+            if known == state:
+                return to, n
+        if self.parts:
+            to, n = self.parts[0](state)
+            to, more = self.parts[1](to)
+            n += more
         else:
-            seam = machine.chunk_runs(self.tail + other.head)
-        runs, open_ended = seam, other.body is None
-        if self.body is None:
-            if open_ended:
-                return _closed(runs, machine, "")
-            return _closed(runs, machine, other.tail, other.body)
-        if open_ended:
-            middle = sum(map(machine.count_run, runs[:-1]))
-            return ChunkMap(self.head, self.body + middle, runs[-1] if runs else "")
-        return ChunkMap(self.head, self.body + sum(map(machine.count_run, runs)) + other.body, other.tail)
-
-    def total(self, machine: CountTransducer) -> int:
-        runs = [*machine.chunk_runs(self.head), *machine.chunk_runs(self.tail)]
-        return sum(map(machine.count_run, runs)) + (self.body or 0)
-
-
-def _closed(runs: list[str], machine: CountTransducer, tail: str, body: int | None = None) -> ChunkMap:
-    if body is None:
-        if len(runs) < 2:
-            return ChunkMap("".join(runs), None, "")
-        return ChunkMap(runs[0], sum(map(machine.count_run, runs[1:-1])), runs[-1])
-    return ChunkMap(runs[0], sum(map(machine.count_run, runs[1:])) + body, tail)
-
-
-CountTransducer.chunk_runs = staticmethod(_RUN.findall)
+            to, n = self.machine.leads(state, self.head)
+            if self.rest is not None:
+                to, n = self.rest[0], n + self.rest[1]
+        self.entering.append(state)
+        self.leaving.append(to)
+        self.emitted.append(n)
+        return to, n
+
+    def then(self, other: ChunkMap) -> ChunkMap:
+        """First this chunk, then the other."""
+        made = ChunkMap(self.machine, parts=(self, other))
+        for state in self.entering or [_START]:
+            made(state)
+        return made
+
+
+def _trim() -> None:
+    for machine in _compiled.values():
+        machine.trim()
+
+
+at_task_end.append(_trim)
 
 
 def transducer(path: str) -> CountTransducer:
