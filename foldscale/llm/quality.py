@@ -5,14 +5,21 @@ it repeats one of the four words before it; all hashed to buckets. Each bucket h
 is the average of its features' vectors within each family, averaged over the families, and a softmax over two
 classes gives the score. Vectors and output
 weights are trained together by stochastic gradient descent in numpy with per-row adaptive steps, on a bounded
-sample of labelled rows (``sample`` rows, the parameter of ``train``, chosen by a hash of the id).
+sample of labelled rows, in the order of a hash of the id: at most ``sample`` rows with at most ``sample_chars``
+characters together (parameters of ``train``; a text that does not fit is left out of the training, never cut), so
+what the driver holds is bounded by about 18 bytes a character.
 
 As the average is linear up to the softmax, scoring folds each bucket's vector into one number, so that scoring
 a whole text is a table look-up and a mean.
 
+Very long texts are worked on in parts that overlap by what n-grams and repetitions reach, with the same result.
+
 Edge cases: null and empty texts have no features and get the score of the bias; rows with several labels take
-the majority (a tie counts as 0); a null doc_id is scored and counts as held out of nothing; labels without a document and
-documents without a label are fine; without any label the score is 0.5; repeated rows are scored each.
+the majority (a tie counts as 0); of the texts that share a labelled doc_id the one with the greatest hash is trained
+on; a null doc_id is scored and counts as held out of nothing; labels without a document and
+documents without a label are fine; without any label the score is 0.5; repeated rows are scored each, as are rows that
+share a doc_id but not the text; an empty table gives an empty table; other columns of either table are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldscale.llm.runtime import SLICE_CHARS, column, map_rows
+from foldscale.llm.runtime import SLICE_CHARS, column, map_rows, materialize
 from foldscale.llm.textkit import classes_of, joined, lowered, points, segments, spans_of, substring_hashes
 
 BITS = 17
@@ -32,46 +39,71 @@ BUCKETS = 1 << BITS
 LAGS = 4
 
 
-def features(run: list[str]) -> list[np.ndarray]:
-    """For joined texts: pairs (buckets, first of each text) of the three feature families."""
-    cp = points("\0".join(run))
+def features(run: list[str], cores: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+    """For joined texts: pairs (buckets, first of each text) of the four feature families.
+
+    ``cores``: for each text the characters whose features count; what stands around them is there to be looked at.
+    """
+    cp = points("\0".join([*run, ""]))
     kind = classes_of(cp)
     limits = np.cumsum([len(t) + 1 for t in run])
+    inside = np.ones(len(cp) + 1, bool)
+    if cores is not None:
+        inside[:] = False
+        for low, (a, b) in zip([0, *limits.tolist()], cores, strict=False):
+            inside[low + a : low + b] = True
     out = []
     x = cp.astype(np.uint32)
     x = np.where(kind & 1, np.uint32(32), x)
     mix = (x * np.uint32(0x9E3779B1)) ^ (x >> np.uint32(7))
     for width, salt in ((3, 0x85EBCA77), (4, 0xC2B2AE3D)):
-        n = len(mix) - width + 1
-        if n <= 0:
-            out.append((np.zeros(0, np.int64), np.zeros(len(run) + 1, np.int64)))
-            continue
+        n = max(0, len(mix) - width + 1)
         h = np.full(n, salt, np.uint32)
         for k in range(width):
             h = (h ^ mix[k : k + n]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(13)
         h *= np.uint32(0x2C1B3C6D)
-        first = np.minimum(np.concatenate(([0], limits)), n)
-        out.append(((h >> np.uint32(32 - BITS)).astype(np.int64), first))
+        good = inside[:n].copy()
+        for back in range(1, width):  # n-grams end with the blank after their text, not in the next one
+            good[(limits - back)[(limits >= back) & (limits - back < n)]] = False
+        at = np.flatnonzero(good)
+        first = np.concatenate(([0], np.searchsorted(at, limits)))
+        out.append(((h[at] >> np.uint32(32 - BITS)).astype(np.int64), first))
     _, _, value = lowered(cp)
     a, b = spans_of((kind & 1) == 0)
     w = substring_hashes(value, a, b)
     first = np.concatenate(([0], np.searchsorted(a, limits)))
-    out.append(((w >> np.uint64(64 - BITS)).astype(np.int64), first))
     again = np.zeros(len(w), np.int64)
     place = np.arange(len(w)) - np.repeat(first[:-1], np.diff(first))
     for lag in range(LAGS, 0, -1):
         if len(w) > lag:
             same = np.concatenate((np.zeros(lag, bool), w[lag:] == w[:-lag])) & (place >= lag)
             again[same] = lag
-    out.append((again, first))
-    return out
+    at = np.flatnonzero(inside[a])
+    first = np.concatenate(([0], np.searchsorted(a[at], limits)))
+    return [*out, ((w[at] >> np.uint64(64 - BITS)).astype(np.int64), first), (again[at], first)]
 
 
-def _spread(texts: list[str]):
+def _spread(texts: list[str], size: int):
+    """(text, part, core) of texts; parts of long ones have the words before them and the characters after them."""
     for i, t in enumerate(texts):
-        for part in segments(t) if len(t) > SLICE_CHARS else (t,):
-            yield i, part
+        if len(t) <= size:
+            yield i, t, (0, len(t) + 1)
+            continue
+        at, lead = 0, ""
+        for part in segments(t, size):
+            end = at + len(part)
+            last = end == len(t)
+            yield i, lead + t[at : end + 3], (len(lead), len(lead) + len(part) + last)
+            lead, at = " ".join((lead + part).rsplit(None, LAGS)[-LAGS:]), end
+
+
+def _families(texts: list[str], size: int):
+    """For runs of parts: the texts that own them, and their features."""
+    parts = list(_spread(texts, size))
+    for a, b, run in joined([p for _, p, _ in parts]):
+        whole = all(core == (0, len(p) + 1) for _, p, core in parts[a:b])
+        yield np.array([i for i, _, _ in parts[a:b]]), features(run, None if whole else [c for _, _, c in parts[a:b]])
 
 
 def _collected(batch):
@@ -79,8 +111,8 @@ def _collected(batch):
     ids, y = column(batch, "doc_id").to_pylist(), column(batch, "y").to_pylist()
     for i, text in enumerate(column(batch, "text").to_pylist()):
         total = np.zeros((4, BUCKETS))
-        for _, part in _spread([text or ""]):
-            for k, (h, _) in enumerate(features([part])):
+        for _, found in _families([text or ""], SLICE_CHARS):
+            for k, (h, _) in enumerate(found):
                 total[k] += np.bincount(_lag_buckets()[h] if k == 3 else h, minlength=BUCKETS)
         each = total.sum(axis=1, keepdims=True)
         share = (total / np.maximum(each, 1)).sum(axis=0) / max(1, (each > 0).sum())
@@ -99,13 +131,11 @@ class QualityModel:
     folded: np.ndarray  # a number for each bucket
     bias: float
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], size: int = SLICE_CHARS) -> np.ndarray:
         total, count = np.zeros((4, len(texts))), np.zeros((4, len(texts)))
-        parts = list(_spread(texts))
         lags = self.folded[_lag_buckets()]
-        for a, b, run in joined([p for _, p in parts]):
-            owner = np.array([i for i, _ in parts[a:b]])
-            for k, (h, first) in enumerate(features(run)):
+        for owner, found in _families(texts, size):
+            for k, (h, first) in enumerate(found):
                 n = np.diff(first)
                 some = np.flatnonzero(n > 0)
                 if len(some):
@@ -151,13 +181,24 @@ def held_out_column(doc_id) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 10) -> QualityModel:
-    """Fit on the ``sample`` labelled rows with the smallest id hashes; held-out ids are never among them."""
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, epochs: int = 10, sample_chars: int = 10_000_000
+) -> QualityModel:
+    """Fit on labelled rows in the order of their id hashes, ``sample`` rows and ``sample_chars`` characters at most;
+    held-out ids are never among them."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     usable = usable.where(~held_out_column(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so small enough to send around
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.max(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    texts = materialize(texts.select("doc_id", "y", F.length("text").alias("size"), F.xxhash64("doc_id").alias("h"), "text"), "labelled")
+    left, taken = sample_chars, []
+    for r in texts.select("doc_id", "size", "h").orderBy("h", "doc_id").collect():  # ``sample`` rows at most
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["doc_id"],))
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
     found = map_rows(rows, _collected, "doc_id long, y int, ids array<int>, share array<float>", 64).toArrow()
     data = []
     for batch in found.to_batches():
