@@ -19,8 +19,10 @@ rows is no hot task.
 A row is rejected if no letter stands in it, if its language is ``und`` or if the posterior is below ``least``.
 
 Edge cases: null and empty texts are rejected with posterior 0; null declarations, hosts and suffixes are missing
-evidence; a declared language without a model counts as ``other``; repeated rows are scored each; a null id stays null; an
-empty table gives an empty table; very long texts are scored whole, in parts.
+evidence; a declared language without a model counts as ``other``; repeated rows are scored each, as are rows that share
+an id but not the text; a null id stays null; equal posteriors go to the first language in the order of codes (``und``
+last); a host with several suffixes takes the greatest; an empty table gives an empty table; other columns are ignored,
+whatever their names; very long texts are scored whole, in parts that overlap, with the same result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldscale.llm.runtime import column, map_rows, materialize
+from foldscale.llm.runtime import SLICE_CHARS, column, map_rows, materialize, salted_join
 from foldscale.llm.textkit import LETTER, joined, lowered, points
 
 BUCKETS = 1 << 15
@@ -44,8 +46,11 @@ ENOUGH = 400
 ALWAYS = 24
 
 
-def trigram_buckets(run: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the trigrams around each letter, and where each text's begin (n + 1)."""
+def trigram_buckets(run: list[str], around: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams around each letter, and where each text's begin (n + 1).
+
+    ``around``: for each text how many characters at its start and end are there to be looked at only.
+    """
     cp = points("\0".join(run))
     low, kind, _ = lowered(cp)
     letter = (kind & LETTER) != 0
@@ -53,23 +58,29 @@ def trigram_buckets(run: list[str]) -> tuple[np.ndarray, np.ndarray]:
     pad = np.concatenate(([0], low, [0])).astype(np.uint32)
     h = (pad[:-2] * np.uint32(0x9E3779B1)) ^ (pad[1:-1] * np.uint32(0x85EBCA77)) ^ (pad[2:] * np.uint32(0xC2B2AE3D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    at = np.flatnonzero(letter)
     limits = np.cumsum([len(t) + 1 for t in run])
+    if around:
+        letter = letter.copy()
+        for low, high, (before, after) in zip([0, *limits.tolist()], limits.tolist(), around, strict=False):
+            letter[low : low + before] = False
+            letter[high - 1 - after : high - 1] = False
+    at = np.flatnonzero(letter)
     return (h[at] >> np.uint32(17)).astype(np.int64), np.concatenate(([0], np.searchsorted(at, limits)))
 
 
-def _parts(texts: list[str], size: int = 400_000):
-    """(index, part) of texts, long ones in parts."""
+def _parts(texts: list[str], size: int):
+    """(index, part, characters around it) of texts; parts of long ones overlap by the characters beside them."""
     for i, t in enumerate(texts):
         for a in range(0, len(t), size):
-            yield i, t[a : a + size]
+            before, after = int(a > 0), int(a + size < len(t))
+            yield i, t[a - before : a + size + after], (before, after)
 
 
 def _counted(batch):
     found: dict[str, np.ndarray] = {}
     langs = column(batch, "declared").to_pylist()
-    for i, part in _parts([t or "" for t in column(batch, "text").to_pylist()]):
-        h, _ = trigram_buckets([part])
+    for i, part, around in _parts([t or "" for t in column(batch, "text").to_pylist()], SLICE_CHARS):
+        h, _ = trigram_buckets([part], [around])
         found.setdefault(langs[i], np.zeros(BUCKETS, np.int64))
         found[langs[i]] += np.bincount(h, minlength=BUCKETS)
     out: list[list] = [[], [], []]
@@ -86,13 +97,13 @@ class TrigramModels:
     languages: list[str]
     weights: np.ndarray  # a row per language, and the last for ``und``
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, texts: list[str], size: int = SLICE_CHARS) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihoods of each text, and its number of trigrams."""
         total = np.zeros((len(texts), len(self.weights)))
         count = np.zeros(len(texts), np.int64)
-        parts = list(_parts(texts))
-        for a, b, run in joined([p for _, p in parts]):
-            h, first = trigram_buckets(run)
+        parts = list(_parts(texts, size))
+        for a, b, run in joined([p for _, p, _ in parts]):
+            h, first = trigram_buckets(run, [x for _, _, x in parts[a:b]] if any(x != (0, 0) for _, _, x in parts[a:b]) else None)
             n = np.diff(first)
             some = np.flatnonzero(n)
             if not len(some):
@@ -177,16 +188,16 @@ def identify(
     suffixes = suffixes.withColumn("s_all", F.aggregate(F.array(*(f"s{i}" for i in index)), F.lit(0.0), lambda a, b: a + b))
     suffixes = suffixes.select("suffix", *(p.alias(f"up{i}") for i, p in enumerate(smoothed("s", [F.lit(float(b)) for b in base]))))
     hosts = scored.where("host is not null").groupBy("host").agg(
-        F.max("suffix").alias("suffix"), *(s.alias(f"h{i}") for i, s in enumerate(sums))
+        F.max("suffix").alias("suffix"), F.count("*").alias("m"), *(s.alias(f"h{i}") for i, s in enumerate(sums))
     )
     hosts = hosts.join(suffixes, "suffix", "left").select(
-        "host", *(f"h{i}" for i in index), *(F.coalesce(f"up{i}", F.lit(float(base[i]))).alias(f"up{i}") for i in index)
-    )
-    both = scored.join(
-        hosts.select("host", F.array(*(f"h{i}" for i in index)).alias("held"), F.array(*(f"up{i}" for i in index)).alias("up")),
         "host",
-        "left",
-    ).withColumn("said", known)
+        "m",
+        F.array(*(f"h{i}" for i in index)).alias("held"),
+        F.array(*(F.coalesce(f"up{i}", F.lit(float(base[i]))) for i in index)).alias("up"),
+    )
+    both = salted_join(scored.where("host is not null"), materialize(hosts, "language-hosts"), ["host"], "m", "id")
+    both = both.unionByName(scored.where("host is null"), allowMissingColumns=True).withColumn("said", known)
     shared = spark.sparkContext.broadcast(Fusion(names, kinds, agree, base, smoothing, least))
     return map_rows(
         both.select("id", "declared", "host", "said", "n", "evidence", "vote", "held", "up"),
