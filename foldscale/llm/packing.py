@@ -12,12 +12,15 @@ No group grows with the input: their number does. ``certificate`` gives the numb
 for the whole input, from the histogram of piece lengths (at most ``capacity`` rows).
 
 Edge cases: a null or empty text is one piece of the end id alone; a null doc_id counts as one more id; repeated
-rows are packed each; an empty table gives an empty table; a text of any length is encoded whole.
+rows are packed each, as are rows that share a doc_id but not the text; pieces of equal length are packed in the order
+in which they come, which fixes no more than which of them stands where; an empty table gives an empty table; other columns are
+ignored, whatever their names; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -122,7 +125,6 @@ def pack(
     end_id: int = 2,
     capacity: int = 1024,
     group_items: int = 4096,
-    rounds: int = 3,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialize(
@@ -138,7 +140,7 @@ def pack(
     rest = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group_items))
     now = materialize(_deal(rest, 0, groups, capacity).withColumn("turn", F.lit(0)), "packed")
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):  # every round but the last saves a sequence, so they end
         # a group above its bound gives up what is not nearly full, any group its emptiest sequences
         room = capacity - F.col("fill")
         loose_if = ((F.col("gap") > 0) & (room >= capacity // 64)) | (room >= capacity // 8)
@@ -152,11 +154,8 @@ def pack(
         if _sequences(again) >= before:
             break
         now = materialize(now.where(~loose_if).unionByName(again), "packed")
-    number_of = (
-        F.shiftleft(F.col("turn").cast("long"), 56)
-        .bitwiseOR(F.shiftleft(F.col("grp"), 24))
-        .bitwiseOR(F.col("bin"))
-    )
+    # 2 ** 20 sequences a group, 2 ** 32 groups
+    number_of = F.shiftleft(F.shiftleft(F.col("turn").cast("long"), 32).bitwiseOR(F.col("grp")), 20).bitwiseOR(F.col("bin"))
     own = full.select(
         "*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

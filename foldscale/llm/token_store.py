@@ -15,8 +15,8 @@ Files are written by the executors through ``pyarrow.fs`` into a shared folder,
 moved, so that a task that runs twice leaves one file.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id is stored under a reserved key and comes first;
-rows that share a doc_id are stored each, by text; an empty table is no file and an empty result; long texts are
-encoded whole.
+rows that share a doc_id are stored each, in the order of a hash of their text; an empty table is no file and an empty
+result; other columns are ignored, whatever their names; long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -38,8 +38,16 @@ BLOCK_BITS = 512
 FILE_TOKENS = 2_000_000
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """The address in full, as Spark understands it: a path without a scheme is one of its default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = store.makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _popcount(bitmap: np.ndarray) -> np.ndarray:
@@ -184,8 +192,11 @@ def _write(batches, uri, tokenizer, end_id, schema):
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the files under ``uri``; returns the manifest: file, documents, tokens, start (tokens of the files before)."""
     fields, arrow = schema_of(_MANIFEST)
-    run = functools.partial(_write, uri=uri, tokenizer=tokenizer, end_id=end_id, schema=arrow)
-    spread = docs.select(key_of("doc_id").alias("k"), "text").repartitionByRange("k").sortWithinPartitions("k", "text")
+    run = functools.partial(_write, uri=qualified(docs.sparkSession, uri), tokenizer=tokenizer, end_id=end_id, schema=arrow)
+    # the hash of the text and the row's number split an id that a third of all rows share
+    order = ["k", "t", "r"]
+    rows = docs.select(key_of("doc_id").alias("k"), "text", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("r"))
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = materialize(spread.mapInArrow(run, fields), "token-manifest")
     # one row per sorted partition on the driver
     totals = manifest.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect()
@@ -222,5 +233,5 @@ def read_tokens(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     files = manifest.select("file", "start")
     files = files.repartition(min(max(1, files.count()), 20_000))  # a task for each file; each is much work
-    found = map_rows(files, functools.partial(_read, uri=uri), "k long, start long, n_tokens long, ids_crc32 long", 1)
+    found = map_rows(files, functools.partial(_read, uri=qualified(spark, uri)), "k long, start long, n_tokens long, ids_crc32 long", 1)
     return found.select(id_of("k").alias("doc_id"), "start", "n_tokens", "ids_crc32")
