@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldscale.llm.runtime import SLICE_CHARS, column, fresh, id_of, key_of, map_rows, materialize, salted_join
+from foldscale.llm.runtime import SLICE_CHARS, column, fresh, id_of, key_of, map_rows, materialize, salted_join, sifted
 from foldscale.llm.textkit import SPACE, classes_of, mixed, points, spans_of, substring_hashes, tables
 
 GEAR_WINDOW, REACH = 16, 20
@@ -238,8 +238,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
         functools.partial(_zones, min_words=min_words),
         "t1 long, t2 long, n long, za array<int>, zb array<int>",
     )
+    zones = materialize(zones, "zones")
     # equal texts fall together on the map side, so a text of a third of all documents is no hot task
-    whole = rows.select(*text, "text").groupBy(*text).agg(F.first("text").alias("text"))
+    whole = sifted(rows.select(*text, "text"), "t1", zones).groupBy(*text).agg(F.first("text").alias("text"))
     windows = materialize(
         map_rows(
             whole.join(zones, text).select("n", "text", "za", "zb"),
