@@ -17,7 +17,9 @@ Five-word shingles (lower-cased, split at white space), Jaccard similarity of 0.
 
 Edge cases: a null text counts as empty; texts without words link with nothing; texts of one to four words have
 one shingle; a null doc_id counts as one more id; rows that share a doc_id are one document, whose text is the
-one with the greatest digest; an empty table gives an empty table; all other columns are ignored.
+one with the greatest digest (``corpus_pipeline`` gives every row an id of its own); pairs at the very threshold are
+linked; an empty table gives an empty table; all other columns are ignored, whatever their names; very long texts are
+shingled whole, in parts that end at words.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ from foldscale.llm.textkit import mixed, shingle_sets
 
 HASHES, BAND_ROWS, ROUND = 128, 4, 32
 #: Members of a block: of candidates (signatures), of a verified component (texts).
-BLOCK, TEXT_BLOCK, TEXT_SHINGLES = 512, 256, 200_000
+BLOCK, TEXT_BLOCK, TEXT_SHINGLES = 1024, 1024, 400_000
 
 _XOR = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _MUL = (mixed(np.arange(501, HASHES + 501, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
