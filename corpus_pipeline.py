@@ -31,7 +31,8 @@ def by_key(docs: DataFrame, key: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language stay; rows without letters and rows of no known language go."""
+    """Documents in an identified language stay; rows without letters (null and empty texts too) and rows of no known
+    language go. Rows that are alike in id, text, language and source are decided alike; no rows give no rows."""
     importable(spark)
     rows, key = keyed(docs, "doc_id", "text", "lang", "source")
     gone = identify(document_rows(by_key(rows, key))).where(~F.col("accepted")).select(F.col("id").alias(key)).distinct()
@@ -40,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id (null before all); of rows
-    that share doc_id and text one stays."""
+    that share doc_id and text one stays. Null, empty and wordless texts are copies of nothing; no rows give no rows."""
     importable(spark)
     rows, key = keyed(docs, "doc_id", "text")
     found = jaccard_join(by_key(rows, key)).where("n_links > 0").select(key_of("doc_id").alias(key), key_of("class_id").alias("_class"))
@@ -51,14 +52,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go, decided by row: of rows that share a doc_id only those whose text
+    holds one. Null and empty texts stay; without documents or items nothing goes."""
     rows, key = keyed(docs, "doc_id", "text")
     gone = contained_items(by_key(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
     return rows.join(gone, key, "left_anti").drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark in the texts; all documents stay and ``n_chars`` follows the text."""
+    """Secrets are replaced by a mark in the texts; all documents stay, repeated ones too, null and empty texts as they
+    are, and ``n_chars`` follows the text."""
     importable(spark)
     clean = redact(docs)
     if "n_chars" not in docs.columns:
@@ -67,7 +70,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in training sequences."""
+    """The documents' pieces and their places in training sequences: a null or empty text is its end id, rows that share
+    a doc_id are packed each, no rows give no rows."""
     importable(spark)
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 

@@ -237,6 +237,18 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, small_blocks):
         assert r["kept"] == (root[i] == i)
 
 
+def test_jaccard_join_of_long_texts(spark):
+    from foldscale.llm.jaccard_join import jaccard_join
+
+    rng = random.Random(33)
+    long = words(rng, 120_000).split()  # beyond SLICE_CHARS
+    edited = long[:50_000] + ["new"] * 300 + long[50_000:]
+    other = long[:60_000] + words(rng, 60_000, "v").split()
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(other)), (4, " ".join(long[:9]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join(documents(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_jaccard_join_of_nothing(spark):
     from foldscale.llm.jaccard_join import jaccard_join
 
@@ -420,20 +432,21 @@ def test_embedding_dedup_against_brute_force(spark, monkeypatch, block):
     rows += [(i, (base + 0.05 * rng.standard_normal(16)).tolist()) for i in range(150, 260)]
     rows += [(i, (np.array(rows[i - 260][1]) * 3 + 0.01).tolist()) for i in range(260, 290)]
     odd = [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (403, [1.0, None] * 8), (404, []), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (None, rows[0][1])]
-    table = spark.createDataFrame([(*r, 1) for r in rows + odd + rows[:2]], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table, window=8).collect()}
-    good = [(i, np.array(v)) for i, v in rows + [odd[-1]]]
+    again = [rows[1], (7, rows[40][1]), (7, (-np.array(rows[41][1])).tolist())]  # a repeated row, an id with other vectors
+    every = rows + odd + again
+    table = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in every], "vec_id long, embedding array<double>, label int, k long, dim string, n int")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(table, window=8).collect()), key=str)
+    good = [(i, np.array(v)) for i, v in every if v and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 16]
     unit = np.stack([v / np.linalg.norm(v) for _, v in good])
     hit = unit @ unit.T >= 0.9
     np.fill_diagonal(hit, False)
-    assert len(got) == len(rows) + len(odd)
-    found = sum(got[i]["n_links"] for i, _ in good)
-    assert found >= 0.97 * hit.sum()
-    for n, (i, _) in enumerate(good):
-        assert got[i]["n_links"] <= hit[n].sum()
-    assert all(got[i]["n_links"] == 109 and got[i]["component_id"] == 150 for i in range(150, 260))
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(400, 405))
-    assert got[406]["component_id"] == 405 and got[None]["kept"] and got[0]["component_id"] is None
+    ids = np.array([-1 if i is None else i for i, _ in good])
+    label = ids.copy()
+    while (new := np.minimum(label, np.where(hit, label, 10**6).min(axis=1))).tolist() != label.tolist():
+        label = new
+    want = [(i, int(hit[n].sum()), None if label[n] < 0 else int(label[n]), label[n] == ids[n]) for n, (i, _) in enumerate(good)]
+    want += [(i, 0, i, True) for i in range(400, 405)] + [(405, 1, 405, True), (406, 1, 405, False)]
+    assert got == sorted(((i, n, c, bool(kept)) for i, n, c, kept in want), key=str)
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
@@ -532,7 +545,8 @@ def test_language_id(spark):
     true = {r[0]: r[2] for r in rows}
     rows[5] = (*rows[5][:2], "de" if true[5] != "de" else "en", *rows[5][3:])  # a wrong declaration
     rows += [(900, None, "en", "s", 0), (901, "", None, None, 0), (902, "1234 !!", "en", "s", 0), (903, "中文字符没有别的语言可比" * 5, None, None, 0), (None, make("de", 30), None, None, 0), (0, rows[0][1], "en", rows[0][3], 0)]
-    got = identify(document_rows(spark.createDataFrame(rows, DOCS)), per_language=100).collect()
+    table = spark.createDataFrame([(*r, 1, "x", 2, "y") for r in rows], f"{DOCS}, id long, declared string, n int, host string")
+    got = identify(document_rows(table), per_language=100).collect()
     assert len(got) == len(rows)
     by = {r["id"]: r for r in got}
     assert all(by[i]["lang"] == lang and by[i]["accepted"] for i, lang in true.items())
@@ -731,3 +745,19 @@ def test_pipeline_decides_by_row(spark):
     assert got == sorted(zip(texts, [-1, -1, -1, 7, 7, 5], strict=True))
     docs = spark.createDataFrame([*rows, (None, item, "en", "s", 0), (7, item, "en", "s", 0)], DOCS)
     assert sorted(r["text"] for r in pipeline.leaks(spark, docs, folder).collect()) == sorted(texts)
+
+
+def test_pipeline_of_nothing_and_of_odd_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from foldscale.llm.runtime import materialize
+
+    folder = "/root/testdata/sf0.001"
+    long = "the cat sat on the mat and the dog ran over the hill " * 9000  # beyond SLICE_CHARS
+    odd = [(1, None, "en", "s", 0), (2, "the dog ran home over the hill", "en", None, 3), (3, long, "en", "s", None), (None, "", None, None, None)]
+    wide = spark.createDataFrame([(*r, 5, 6, "t") for r in odd], f"{DOCS}, k long, id long, item_id string")
+    for docs, ids in ((empty(spark), set()), (wide, {2, 3})):
+        columns = docs.columns
+        for name, stage in pipeline.STAGES:
+            docs = materialize(stage(spark, docs, folder), "test-table")
+            assert name == "packing" or docs.columns == columns
+        assert {r["doc_id"] for r in docs.collect()} <= ids
