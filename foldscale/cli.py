@@ -16,8 +16,8 @@ from foldscale.operators import contacts, interactions, interface, ligands, qual
 from foldscale.operators.interface import InterfaceParams
 from foldscale.plans import features as plans
 from foldscale.shared import scratch
-from foldscale.sources.canonical import residues
-from foldscale.sources.scan import parse_status, read_atoms
+from foldscale.sources.canonical import SEPARATOR, readable, residues
+from foldscale.sources.scan import parse_status, read_atoms, require_files
 
 
 def _list(text: str) -> list[str]:
@@ -90,12 +90,15 @@ def _params(a) -> dict:
 
 
 def _records(df: DataFrame, out: str | None) -> str:
+    """Records as JSON lines: written where asked for, else returned for the terminal."""
+    df = readable(df)
     if out:
         return sinks.write_lines(df, out)
     return "\n".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect())
 
 
 def compare(spark: SparkSession, a) -> dict:
+    require_files(spark, a.input)
     status = parse_status(spark, a.input)
     if status.count() < 2:
         raise ValueError("compare needs at least two inputs")
@@ -108,9 +111,9 @@ def compare(spark: SparkSession, a) -> dict:
     by = (by[0], by[1] if len(by) > 1 else "min") if by else None
     ref = superpose.pick_reference(table, a.reference, None if a.reference else by, a.auto_reference)
     labels, matrix = superpose.rmsd_matrix(atoms, superpose.RmsdParams(a.atoms, a.align, a.local))
-    mode = "path" if a.reference else f"by:{by[0]}:{by[1]}" if by else "auto" if a.auto_reference else "first"
+    mode = "explicit" if a.reference else "reference_by" if by else "auto_quality" if a.auto_reference else "first_input"
     out = {
-        "reference_id": ref, "reference_mode": mode, "structure_count": len(labels), "structures": labels,
+        "reference_id": ref["structure_id"], "reference_path": ref["source_path"], "reference_mode": mode, "structure_count": len(labels), "structures": labels,
         "matrix": {"labels": labels, "rmsd": matrix},
         "deltas": [r.asDict() for r in superpose.deltas(table, ref, a.delta_fields).orderBy("source_path").collect()],
     }
@@ -118,20 +121,31 @@ def compare(spark: SparkSession, a) -> dict:
 
 
 def featurize(spark: SparkSession, a) -> str:
-    log = provenance.Recorder("featurize", a.sqlite, a.jsonl) if a.provenance or a.sqlite or a.jsonl else None
-    atoms = read_atoms(spark, a.input).persist()
-    manifest = sinks.write_features(plans.features(atoms, **_params(a)), a.out)
-    if log:
-        for r in parse_status(spark, a.input).toLocalIterator():
-            log.record("parse_start", details_path=r["path"])
-            log.record("feature_complete" if r["ok"] else "structure_failed", r["path"].rsplit("/", 1)[-1], error=r["error"])
-        log.record("write_complete", out=a.out)
+    require_files(spark, a.input)
+    manifest = sinks.write_features(plans.features(read_atoms(spark, a.input), **_params(a)), a.out)
+    text = json.dumps(manifest, indent=2)
+    if not a.provenance:
+        return text
+    done = spark.read.parquet(manifest["parquet_path"]).select("structure_id", F.col("source_path").alias("path"))
+    status = parse_status(spark, a.input).join(done, "path", "left").orderBy("path")
+    with provenance.Recorder("featurize", a.sqlite or f"{a.out}/run.sqlite", a.jsonl or f"{a.out}/events.jsonl") as log:
+        for r in status.toLocalIterator():
+            log.record("parse_start", path=r["path"])
+            if r["ok"]:
+                log.record("feature_complete", r["structure_id"], path=r["path"])
+            else:
+                log.record("structure_failed", path=r["path"], error=r["error"])
+        log.record("write_complete", manifest=manifest["feature_records_path"], record_count=done.count())
         log.record("run_complete")
-    return json.dumps(manifest, indent=2)
+        return f"run_id={log.run_id}\n{text}"
 
 
 def graph(spark: SparkSession, a) -> str:
     atoms = read_atoms(spark, a.input).persist()
+    found = atoms.select("structure_id").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"a graph needs one structure that can be parsed, {a.input} has {'more' if found else 'none'}")
+    sid = found[0]["structure_id"].split(SEPARATOR)[0]
     r = residues(atoms).select("structure_id", F.col("res_ord").alias("node"), F.col("residue_id").alias("id"), "residue_name", "chain_id", "seq_number")
     if a.graph_type == "atom":
         edges = contacts.atom_graph(atoms)
@@ -143,14 +157,10 @@ def graph(spark: SparkSession, a) -> str:
         nodes = r
         if a.graph_type == "interface":
             nodes = r.join(edges.select("structure_id", F.explode(F.array("a", "b")).alias("node")).distinct(), ["structure_id", "node"], "left_semi")
-    sid = atoms.first()["structure_id"]
     n, e = sinks.graph_rows(nodes, edges)
-    text = {"graphml": sinks.to_graphml, "gml": sinks.to_gml, "json": sinks.to_node_link}.get(a.format, lambda x, y: sinks.to_html(x, y, sid))(n, e)
-    out = a.out or f"{sid}.{a.graph_type}.{a.format}"
-    os.makedirs(os.path.dirname(os.path.abspath(out)), exist_ok=True)
-    with open(out, "w") as f:
-        f.write(text)
-    return out
+    page = lambda x, y: sinks.to_html(x, y, sid, sinks.to_pdb(atoms))
+    text = {"graphml": sinks.to_graphml, "gml": sinks.to_gml, "json": sinks.to_node_link}.get(a.format, page)(n, e)
+    return sinks.write_text(spark, a.out or os.path.abspath(f"{sid}.{a.graph_type}.{a.format}"), text)
 
 
 def run(spark: SparkSession, argv: list[str]) -> str:
@@ -174,12 +184,13 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "compare":
         result = compare(spark, a)
         if a.out:
-            sinks.write_comparison(result, a.out, a.format)
+            sinks.write_comparison(spark, result, a.out, a.format)
             return a.out
         return json.dumps(result, indent=2)
+    require_files(spark, a.input)
     atoms = read_atoms(spark, a.input)
     if a.command == "parse":
-        rows = summary.summary(atoms).orderBy("structure_id").collect()
+        rows = readable(summary.summary(atoms).orderBy("structure_id")).collect()
         if not rows:
             raise ValueError(f"nothing could be parsed in {a.input}")
         if a.format == "json":

@@ -29,6 +29,7 @@ NOT_LIGANDS = (
 )
 # Residues whose model quality is judged: the twenty and common modifications.
 QUALITY_RESIDUES = (*ONE_LETTER, "MSE", "SEP", "TPO", "PTR", "HYP", "CSO", "CME", "KCX", "LLY", "MHO")
+# Hydrophobic residues, charged atoms, and the atoms of the backbone.
 HYDROPHOBIC = ("ALA", "VAL", "LEU", "ILE", "PRO", "MET", "PHE", "TYR", "TRP")
 ACIDIC_OXYGENS = ("ASP OD1", "ASP OD2", "GLU OE1", "GLU OE2")
 BASIC_NITROGENS = ("LYS NZ", "ARG NH1", "ARG NH2", "ARG NE", "HIS ND1", "HIS NE2")
@@ -102,7 +103,7 @@ class LigandFilter:
 
 
 def ramachandran(phi: Column, psi: Column, residue_name: Column) -> Column:
-    """favored, allowed or outlier; half-open rectangles of the (phi, psi) plane in degrees."""
+    """favored, allowed or outlier; half-open rectangles of the (phi, psi) plane in degrees (fixed values)."""
 
     def within(*boxes):
         out = F.lit(False)

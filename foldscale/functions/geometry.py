@@ -46,7 +46,7 @@ def torsion(a: Vector, b: Vector, c: Vector, d: Vector) -> Column:
 
 
 def sphere_points(n: int = 92) -> list[tuple[float, float, float]]:
-    """Points on the unit sphere along the golden spiral."""
+    """Points on the unit sphere along the golden spiral (fixed values: the spiral and its 92 points)."""
     turn, out = math.pi * (1.0 + math.sqrt(5.0)), []
     for k in range(n):
         y = 1.0 - 2.0 * (k + 0.5) / n

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscale.functions.geometry import distance, dot, sub, torsion, xyz
+from foldscale.operators.spatial import cross_pairs
 from foldscale.shared import stored
 from foldscale.sources.canonical import residues
 
@@ -37,7 +38,7 @@ def dihedrals(atoms: DataFrame) -> DataFrame:
     )
 
 
-def hydrogen_bonds(atoms: DataFrame) -> DataFrame:
+def hydrogen_bonds(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
     """Backbone bonds (Kabsch and Sander 1983): CO of residue ``i`` with NH of residue ``j``, energy below -0.5."""
     by = Window.partitionBy("structure_id", "chain_index").orderBy("residue_index")
     b = backbone(atoms).withColumn("pC", F.lag("C").over(by)).withColumn("pO", F.lag("O").over(by))
@@ -52,59 +53,52 @@ def hydrogen_bonds(atoms: DataFrame) -> DataFrame:
     acceptors = b.where("C is not null and O is not null").select(
         "structure_id", F.col("res_ord").alias("i"), F.col("C").alias("c"), F.col("O").alias("o"), F.col("CA").alias("ca_i")
     )
+    place = lambda df, ca: df.where(f"{ca} is not null").select("*", f"{ca}.x", f"{ca}.y", f"{ca}.z")
+    names = ["structure_id", "i", "c", "o", "j", "n", "h"]
+    near = cross_pairs(place(acceptors, "ca_i"), place(donors, "ca_j"), 9.0, grid)
+    near = near.select("structure_id", *(F.col(f"{c}_{s}").alias(c) for c, s in zip("icojnh", "aaabbb", strict=True)))
+    # residues without CA meet all others: few, if any
+    for x, y in ((acceptors.where("ca_i is null"), donors), (acceptors.where("ca_i is not null"), donors.where("ca_j is null"))):
+        near = near.unionByName(x.join(y, "structure_id").select(*names))
     on, ch = distance(xyz("o"), xyz("n")), distance(xyz("c"), xyz("h"))
     oh, cn = distance(xyz("o"), xyz("h")), distance(xyz("c"), xyz("n"))
-    near = F.coalesce(distance(xyz("ca_i"), xyz("ca_j")) <= 9.0, F.lit(True))
     apart = (on >= 1e-3) & (ch >= 1e-3) & (oh >= 1e-3) & (cn >= 1e-3)
     inv = lambda r: F.lit(1.0) / F.when(r >= 1e-3, r)
     energy = 27.888 * (inv(on) + inv(ch) - inv(oh) - inv(cn))
-    return acceptors.join(donors, "structure_id").where((F.col("i") != F.col("j")) & near & apart & (energy < -0.5)).select("structure_id", "i", "j")
+    return near.where((F.col("i") != F.col("j")) & apart & (energy < -0.5)).select("structure_id", "i", "j")
 
 
 def secondary_structure(atoms: DataFrame) -> DataFrame:
-    """A state per residue (H, G, I helix; E strand; C coil), from joins of the bond table with itself."""
-    hb = stored(hydrogen_bonds(atoms), "bonds")  # read by a dozen joins, as are the residues
-    chain = stored(residues(atoms).select("structure_id", "res_ord", "chain_index", "residue_name", "residue_id", "chain_id", "residue_index"), "residues")
-    place = chain.select("structure_id", "res_ord", "chain_index")
-    # helices: bonds i-1 -> i-1+n and i -> i+n inside one chain flag i .. i+n-1
-    states = []
-    for n, rank in ((4, 5), (3, 3), (5, 2)):
-        turn = hb.where(F.col("j") == F.col("i") + n).select("structure_id", "i")
-        pair = turn.join(turn.select("structure_id", (F.col("i") + 1).alias("i")), ["structure_id", "i"])
-        first = place.select("structure_id", (F.col("res_ord") + 1).alias("i"), F.col("chain_index").alias("c0"))
-        last = place.select("structure_id", (F.col("res_ord") - n).alias("i"), F.col("chain_index").alias("c1"))
-        ok = pair.join(first, ["structure_id", "i"]).join(last, ["structure_id", "i"]).where("c0 = c1")
-        states.append(ok.select("structure_id", F.explode(F.sequence("i", F.col("i") + n - 1)).alias("res_ord"), F.lit(rank).alias("rank")))
-    # bridges (i, j): the four patterns, each as rows of the bond table shifted to (i, j)
-    shift = lambda di, dj, flip=False: hb.select("structure_id", (F.col("j" if flip else "i") + di).alias("i"), (F.col("i" if flip else "j") + dj).alias("j"))
-    inside = place.alias("p")
-    prev = place.select("structure_id", (F.col("res_ord") + 1).alias("res_ord"), F.col("chain_index").alias("cp"))
-    nxt = place.select("structure_id", (F.col("res_ord") - 1).alias("res_ord"), F.col("chain_index").alias("cn"))
-    middle = inside.join(prev, ["structure_id", "res_ord"]).join(nxt, ["structure_id", "res_ord"]).where("chain_index = cp and chain_index = cn").select("structure_id", "res_ord")
-    both = lambda x, y: x.join(y, ["structure_id", "i", "j"]).distinct()
-    mid = lambda x, c: x.join(middle.withColumnRenamed("res_ord", c), ["structure_id", c], "left_semi")
-    parallel_i = mid(both(shift(1, 0), shift(-1, 0, True)), "i")  # (i-1, j) and (j, i+1)
-    swapped = both(shift(0, 1, True), shift(0, -1))  # (j-1, i) and (i, j+1)
-    parallel_j = mid(swapped, "j")
-    anti = both(shift(0, 0), shift(0, 0, True))
-    wide = mid(mid(both(shift(1, -1), shift(-1, 1, True)), "i"), "j")  # (i-1, j+1) and (j-1, i+1)
-    bridges = parallel_i
-    for x in (parallel_j, anti, wide):
-        bridges = bridges.unionByName(x.select(*bridges.columns))
-    ends = lambda c, name: place.select("structure_id", F.col("res_ord").alias(c), F.col("chain_index").alias(name))
-    bridges = (
-        bridges.where("i < j")
-        .join(ends("i", "ci"), ["structure_id", "i"])
-        .join(ends("j", "cj"), ["structure_id", "j"])
-        .where("ci != cj or j > i + 2")
-    )
-    states.append(bridges.select("structure_id", F.explode(F.array("i", "j")).alias("res_ord"), F.lit(4).alias("rank")))
-    found = states[0]
-    for s in states[1:]:
-        found = found.unionByName(s)
-    rank = found.groupBy("structure_id", "res_ord").agg(F.max("rank").alias("rank"))
-    state = F.when(F.col("rank") == 5, "H").when(F.col("rank") == 4, "E").when(F.col("rank") == 3, "G").when(F.col("rank") == 2, "I").otherwise("C")
-    return chain.join(rank, ["structure_id", "res_ord"], "left").select(*chain.columns, state.alias("secondary_structure"))
+    """A state per residue (H, G, I helix; E strand; C coil): turns are flags of residues and offsets in their order,
+    bridges two joins of the bond table with itself."""
+    hb = stored(hydrogen_bonds(atoms), "bonds")
+    columns = ["structure_id", "res_ord", "chain_index", "residue_name", "residue_id", "chain_id", "residue_index"]
+    turns = ((4, 5), (3, 3), (5, 2))  # bonds i -> i + n, and the rank of their helix
+    flags = hb.groupBy("structure_id", F.col("i").alias("res_ord")).agg(*(F.max(F.col("j") == F.col("i") + n).alias(f"t{n}") for n, _ in turns))
+    by = Window.partitionBy("structure_id").orderBy("res_ord")
+    beside = lambda k: (F.lead("res_ord", k).over(by) == F.col("res_ord") + k, F.lead("chain_index", k).over(by))
+    (before, first), (after, last) = beside(-1), beside(1)
+    place = residues(atoms).select(*columns).join(flags, ["structure_id", "res_ord"], "left")
+    middle = F.coalesce(before & after & (first == F.col("chain_index")) & (last == F.col("chain_index")), F.lit(False))
+    helix = []
+    for n, _ in turns:  # two turns in a row, i - 1 -> i - 1 + n and i -> i + n, in one chain
+        there, end = beside(n)
+        helix.append(F.coalesce(F.col(f"t{n}") & F.lag(f"t{n}").over(by) & before & there & (first == end), F.lit(False)).alias(f"h{n}"))
+    chain = stored(place.select(*columns, middle.alias("middle"), *helix), "residues")
+    # bridges between x and y, and which of them must lie inside a chain
+    p, q = hb.select("structure_id", "i", "j"), hb.select("structure_id", F.col("i").alias("k"), F.col("j").alias("l"))
+    two = p.join(q.withColumn("j", F.col("k")), ["structure_id", "j"])  # i -> j -> l
+    side = two.where("l = i or l = i + 2").select("structure_id", F.when(F.col("l") == F.col("i"), F.col("i")).otherwise(F.col("i") + 1).alias("x"), F.col("j").alias("y"), (F.col("l") != F.col("i")).alias("in_x"), F.lit(False).alias("in_y"))
+    wide = p.join(q.select("structure_id", (F.col("k") + 2).alias("j"), (F.col("l") - 2).alias("i")), ["structure_id", "i", "j"])
+    wide = wide.select("structure_id", (F.col("i") + 1).alias("x"), (F.col("j") - 1).alias("y"), F.lit(True).alias("in_x"), F.lit(True).alias("in_y"))
+    found = side.unionByName(wide)
+    for c in ("x", "y"):
+        found = found.join(chain.select("structure_id", F.col("res_ord").alias(c), F.col("chain_index").alias(f"chain_{c}"), F.col("middle").alias(f"middle_{c}")), ["structure_id", c])
+    found = found.where("(middle_x or not in_x) and (middle_y or not in_y) and x != y and (chain_x != chain_y or abs(x - y) > 2)")
+    strands = found.select("structure_id", F.explode(F.array("x", "y")).alias("res_ord")).distinct().withColumn("strand", F.lit(True))
+    state = [F.max(f"h{n}").over(by.rangeBetween(1 - n, 0)) for n, _ in turns]
+    state = F.when(state[0], "H").when(F.col("strand"), "E").when(state[1], "G").when(state[2], "I").otherwise("C")
+    return chain.join(strands, ["structure_id", "res_ord"], "left").select(*columns, state.alias("secondary_structure"))
 
 
 def chain_strings(atoms: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldscale.operators.spatial import by_structure, self_pairs
+from foldscale.operators.spatial import map_blocks, self_pairs
 from foldscale.sources.canonical import residues
 
 # Which kind an edge keeps; ties go to the shorter distance.
@@ -90,69 +91,68 @@ def atom_graph(atoms: DataFrame, cutoff: float = 5.0, grid: bool | None = None)
     )
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes(structure_id, node)`` with their number of neighbours."""
-    ends = edges.select("structure_id", F.explode(F.array("a", "b")).alias("node"))
-    n = ends.groupBy("structure_id", "node").agg(F.count("*").alias("degree"))
-    return nodes.join(n, ["structure_id", "node"], "left").select("structure_id", "node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+def _statistics(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Graphs of many structures at once. Rows are nodes (``b`` null) and edges."""
+    a, b = pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(float)
+    is_node = np.isnan(b)
+    nodes = np.lexsort((a[is_node], group[is_node]))  # numbered in the order of structures and nodes
+    g, width = group[is_node][nodes], int(a.max()) + 1
+    keys = g * width + a[is_node][nodes]
+    e = group[~is_node]
+    left = np.searchsorted(keys, e * width + a[~is_node])
+    right = np.searchsorted(keys, e * width + b[~is_node].astype(np.int64))
+    n, count = len(keys), int(group[-1]) + 1
+    degree = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+    # triangles: edges point to the node of greater (degree, number); pairs of a node's arrows that an edge closes
+    turn = (degree[left] > degree[right]) | ((degree[left] == degree[right]) & (left > right))
+    low, high = np.where(turn, right, left), np.where(turn, left, right)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    edge, ends = low * n + high, np.searchsorted(low, low, "right")
+    later, triangles = ends - np.arange(len(low)) - 1, np.zeros(n, np.int64)
+    for s in range(0, len(low), 4096):
+        m = later[s : s + 4096]
+        p = np.repeat(np.arange(s, s + len(m)), m)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+        x, y = np.minimum(high[p], high[q]), np.maximum(high[p], high[q])
+        closed = np.zeros(len(p), bool)
+        for want in (x * n + y, y * n + x):
+            at = np.minimum(np.searchsorted(edge, want), max(len(edge) - 1, 0))
+            closed |= edge[at] == want
+        for c in (low[p], x, y):
+            triangles += np.bincount(c[closed], minlength=n)
+    label = np.arange(n)
+    while len(left):  # the smallest node reachable, by minima over edges and jumps
+        before = label.copy()
+        least = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, least)
+        np.minimum.at(label, right, least)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    pairs = degree * (degree - 1) / 2
+    local = np.where(degree >= 2, triangles / np.maximum(pairs, 1), 0.0)
+    size, edges = np.bincount(g, minlength=count), np.bincount(e, minlength=count)
+    starts = np.searchsorted(g, np.arange(count + 1))
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    out = pd.DataFrame({
+        "structure_id": pdf["structure_id"].to_numpy()[first], "contact_count": edges,
+        "graph_density": np.where(size < 2, 0.0, edges / np.maximum(size * (size - 1) / 2, 1)),
+        "clustering_coefficient": np.bincount(g, weights=local, minlength=count) / np.maximum(size, 1),
+        "connected_components": np.bincount(g[label == np.arange(n)], minlength=count),
+        "degree_distribution": [degree[x:y].tolist() for x, y in zip(starts, starts[1:], strict=False)],
+    })
+    return out[size > 0]
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Closed pairs of neighbours per node: wedges from ordered edges joined with the edges, no cross join."""
-    wedge = edges.select("structure_id", "a", F.col("b").alias("m")).join(
-        edges.select("structure_id", F.col("a").alias("m"), F.col("b").alias("c")), ["structure_id", "m"]
-    )
-    closed = wedge.join(edges.select("structure_id", "a", F.col("b").alias("c")), ["structure_id", "a", "c"])
-    return (
-        closed.select("structure_id", F.explode(F.array("a", "m", "c")).alias("node"))
-        .groupBy("structure_id", "node")
-        .agg(F.count("*").alias("triangles"))
-    )
-
-
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mean local clustering over all nodes; nodes with fewer than two neighbours count as 0."""
-    d = degrees(nodes, edges).join(triangles(edges), ["structure_id", "node"], "left")
-    k = F.col("degree")
-    local = F.when(k >= 2, F.coalesce("triangles", F.lit(0)) / (k * (k - 1) / 2)).otherwise(0.0)
-    return d.groupBy("structure_id").agg(F.avg(local).alias("clustering_coefficient"))
-
-
-def _count_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    parent = {n: n for n in pdf["a"]}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pdf[["a", "b"]].dropna().astype(int).itertuples(index=False):
-        parent[find(a)] = find(b)
-    return pd.DataFrame({"structure_id": [pdf["structure_id"].iloc[0]], "connected_components": [sum(x == find(x) for x in parent)]})
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of components; a group is one structure's graph."""
+def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges, density, mean local clustering (nodes with fewer than two neighbours count as 0), components and the degree
+    of every node in order, from ``nodes(structure_id, node)`` and one edge per pair; a group is one structure's graph."""
     rows = nodes.select("structure_id", F.col("node").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(edges.select("structure_id", "a", "b"))
-    return by_structure(rows).groupBy("structure_id").applyInPandas(_count_components, "structure_id string, connected_components long")
+    ddl = "structure_id string, contact_count long, graph_density double, clustering_coefficient double, connected_components long, degree_distribution array<long>"
+    return map_blocks(rows, ["structure_id"], _statistics, ddl)
 
 
-def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Density, clustering, components and the degree of every node in order."""
-    n = nodes.groupBy("structure_id").agg(F.count("*").alias("n"))
-    e = edges.groupBy("structure_id").agg(F.count("*").alias("e"))
-    listed = (
-        degrees(nodes, edges)
-        .groupBy("structure_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "degree"))), lambda x: x["degree"]).alias("degree_distribution"))
-    )
-    possible = F.col("n") * (F.col("n") - 1) / 2
-    return (
-        n.join(e, "structure_id", "left")
-        .withColumn("e", F.coalesce("e", F.lit(0)).cast("long"))
-        .select("structure_id", F.col("e").alias("contact_count"), F.when(F.col("n") < 2, 0.0).otherwise(F.col("e") / possible).alias("graph_density"))
-        .join(clustering(nodes, edges), "structure_id")
-        .join(connected_components(nodes, edges), "structure_id")
-        .join(listed, "structure_id")
-    )
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of components per structure."""
+    return graph_statistics(nodes, edges).select("structure_id", "connected_components")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from foldscale.functions import chemistry as chem
 from foldscale.operators.spatial import cross_pairs
-from foldscale.operators.surface import atom_sasa, shape_complementarity
+from foldscale.operators.surface import PROBE, atom_sasa, shape_complementarity
+from foldscale.shared import stored
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,26 @@ def interfaces(atoms: DataFrame, params: InterfaceParams | None = None, areas: D
     )
     per_chain = delta.groupBy("structure_id", "chain_label").agg(F.sum("delta").alias("delta"))
     side = lambda s: per_chain.select("structure_id", F.col("chain_label").alias(f"chain_{s}"), F.col("delta").alias(f"delta_{s}"))
+    # patch atoms: heavy atoms and how near they are to another chain, for the area and for the score
     heavy = _heavy(atoms)
-    patch = (
-        cross_pairs(heavy, heavy, params.area_distance, grid)
+    radius = (chem.vdw_radius(F.col("element")) + PROBE).alias("radius")
+    near = (
+        cross_pairs(heavy, heavy.drop("residue_id", "res_ord", "atom_ord"), max(params.area_distance, params.sc_distance), grid)
         .where("chain_label_a != chain_label_b")
-        .select("structure_id", "atom_ord_a", F.col("residue_id_a").alias("residue_id"), F.col("chain_label_a").alias("own"), F.col("chain_label_b").alias("other"))
-        .distinct()
-        .join(delta.select("structure_id", F.col("atom_ord").alias("atom_ord_a"), "delta"), ["structure_id", "atom_ord_a"])
-        .select("structure_id", F.least("own", "other").alias("chain_a"), F.greatest("own", "other").alias("chain_b"), "own", "residue_id", "delta")
+        .groupBy("structure_id", F.col("atom_ord_a").alias("atom_ord"), F.col("chain_label_b").alias("other"))
+        .agg(F.min("distance").alias("distance"))
+        .join(atoms.select("structure_id", "atom_ord", F.col("chain_label").alias("own"), "residue_id", "x", "y", "z", radius), ["structure_id", "atom_ord"])
+        .join(areas.select("structure_id", "atom_ord", F.greatest(F.col("sasa_alone") - F.col("sasa"), F.lit(0.0)).alias("delta"), "open_low", "open_high"), ["structure_id", "atom_ord"])
+        .withColumns({"chain_a": F.least("own", "other"), "chain_b": F.greatest("own", "other")})
+        .drop("other")
+    )
+    near = stored(near, "patches")
+    scores = shape_complementarity(
+        near.where(F.col("distance") <= params.sc_distance).select("structure_id", "chain_a", "chain_b", (F.col("own") == F.col("chain_a")).alias("first"), "x", "y", "z", "radius", "open_low", "open_high"),
+        params.sc_distance,
+    )
+    patch = (
+        near.where(F.col("distance") <= params.area_distance)
         .groupBy("structure_id", "chain_a", "chain_b")
         .agg(
             F.sum("delta").alias("interface_area"),
@@ -70,7 +83,7 @@ def interfaces(atoms: DataFrame, params: InterfaceParams | None = None, areas: D
         pairs.join(side("a"), ["structure_id", "chain_a"])
         .join(side("b"), ["structure_id", "chain_b"])
         .join(patch, keys, "left")
-        .join(shape_complementarity(atoms, params.sc_distance), keys, "left")
+        .join(scores, keys, "left")
         .select(
             *keys, "contact_count",
             *(F.coalesce(f"interface_residue_count_{s}", F.lit(0)).cast("long").alias(f"interface_residue_count_{s}") for s in "ab"),

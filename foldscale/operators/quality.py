@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldscale.functions import chemistry as chem
 from foldscale.operators.backbone import dihedrals
 from foldscale.operators.spatial import self_pairs
+from foldscale.shared import stored
 
 _MOST = max(chem.VDW_RADII.values())
 
@@ -29,14 +30,14 @@ def clashes(atoms: DataFrame, overlap: float = 0.4, grid: bool | None = None) ->
     )
 
 
-def residue_quality(atoms: DataFrame, overlap: float = 0.4, all_residues: bool = True, grid: bool | None = None) -> DataFrame:
-    """One row per judged residue; with ``all_residues`` false only those with a problem."""
+def residue_quality(atoms: DataFrame, overlap: float = 0.4, all_residues: bool = True, grid: bool | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """One row per judged residue; with ``all_residues`` false only those with a problem. ``pairs``: the clashes, if known."""
     torsions = dihedrals(atoms)
     last = torsions.groupBy("structure_id", "chain_index", "seq_number").agg(F.max_by(F.struct("phi", "psi"), "residue_index").alias("d"))
     there = _judged(atoms).groupBy("structure_id", "res_ord", "chain_index", "chain_label", "residue_index", "residue_id", "residue_name", "seq_number").agg(
         F.array_except(F.array(*(F.lit(n) for n in chem.BACKBONE)), F.collect_set("atom_name")).alias("missing_backbone")
     )
-    pairs = clashes(atoms, overlap, grid)
+    pairs = clashes(atoms, overlap, grid) if pairs is None else pairs
     side = lambda x, y: pairs.select("structure_id", F.col(f"residue_id_{x}").alias("residue_id"), F.col(f"atom_id_{y}").alias("partner"), "atom_ord_a", "atom_ord_b")
     per = (
         side("a", "b").unionByName(side("b", "a"))
@@ -61,9 +62,10 @@ def residue_quality(atoms: DataFrame, overlap: float = 0.4, all_residues: bool =
 
 def quality_summary(atoms: DataFrame, overlap: float = 0.4, grid: bool | None = None) -> DataFrame:
     """Seven counts per structure."""
-    pairs = clashes(atoms, overlap, grid).groupBy("structure_id").agg(F.count("*").alias("clash_pair_count"))
+    found = stored(clashes(atoms, overlap, grid).select("structure_id", *(f"{c}_{s}" for c in ("residue_id", "atom_id", "atom_ord") for s in "ab")), "clashes")
+    pairs = found.groupBy("structure_id").agg(F.count("*").alias("clash_pair_count"))
     is_class = lambda c: F.count_if(F.col("ramachandran") == c).alias(f"ramachandran_{c}_count")
-    judged = residue_quality(atoms, overlap, True, grid).groupBy("structure_id").agg(
+    judged = residue_quality(atoms, overlap, True, grid, found).groupBy("structure_id").agg(
         F.count("*").alias("quality_residue_count"),
         F.count("ramachandran").alias("ramachandran_evaluated_count"),
         is_class("favored"), is_class("allowed"), is_class("outlier"),

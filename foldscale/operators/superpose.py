@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import functools
+import math
+import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from foldscale.functions.chemistry import BACKBONE, one_letter
+from foldscale.shared import importable, stored
+from foldscale.sources.canonical import SEPARATOR
 
 
 class RmsdError(ValueError):
@@ -161,20 +166,26 @@ def rmsd_pairs(atoms: DataFrame, params: RmsdParams | None = None, partitions: i
     Every pair is the operator's result, so the pair count is its output; pairs are dealt over all tasks.
     """
     params = params or RmsdParams(align=True)
-    p = profiles(atoms, params)
+    importable(atoms.sparkSession)
+    p = stored(profiles(atoms, params), "profiles")
     side = lambda s: p.select(F.col("structure_id").alias(f"id_{s}"), F.col("letters").alias(f"letters_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in "xyz"))
-    # each structure meets every block of the others: an equi-join on block numbers
-    blocks = partitions or int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = side("a").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = side("b").withColumn("block", F.pmod(F.xxhash64("id_b"), F.lit(blocks)).cast("int"))
-    pairs = a.join(b, "block").where("id_a < id_b").drop("block")
+    # blocks of structures meet in cells (i <= j): each structure is copied once per block, each pair meets in one cell
+    blocks = partitions or max(1, math.isqrt(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    own = lambda s: F.pmod(F.xxhash64(f"id_{s}"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = lambda s: side(s).withColumn("o", own(s)).withColumn("t", other).withColumns({"i": F.least("o", "t"), "j": F.greatest("o", "t"), f"o_{s}": F.col("o")}).drop("o", "t")
+    pairs = dealt("a").join(dealt("b"), ["i", "j"]).where("id_a < id_b and (i = j or o_a != o_b)").drop("i", "j", "o_a", "o_b")
     return pairs.mapInPandas(functools.partial(_compared, params=params), "id_a string, id_b string, rmsd double")
 
 
-def rmsd_matrix(atoms: DataFrame, params: RmsdParams | None = None) -> tuple[list[str], list[list[float | None]]]:
-    """Labels and the symmetric matrix with zero diagonal, on the driver (the report's own format)."""
-    labels = [r["structure_id"] for r in atoms.select("structure_id").distinct().orderBy("structure_id").collect()]
-    place = {x: i for i, x in enumerate(labels)}
+def rmsd_matrix(atoms: DataFrame, params: RmsdParams | None = None, most: int = 5000) -> tuple[list[str], list[list[float | None]]]:
+    """Names in the order of paths, and the symmetric matrix with zero diagonal: the report's own format, one document, so
+    it is made on the driver and refused beyond ``most`` structures; ``rmsd_pairs`` has no such bound."""
+    keys = atoms.groupBy("structure_id").agg(F.min("source_path").alias("path")).orderBy("path", "structure_id").limit(most + 1).collect()
+    if len(keys) > most:
+        raise ValueError(f"more than {most} structures: take rmsd_pairs")
+    labels = [r["structure_id"].split(SEPARATOR)[0] for r in keys]
+    place = {r["structure_id"]: i for i, r in enumerate(keys)}
     out: list[list[float | None]] = [[0.0 if i == j else None for j in range(len(labels))] for i in range(len(labels))]
     for r in rmsd_pairs(atoms, params).collect():
         i, j = place[r["id_a"]], place[r["id_b"]]
@@ -182,33 +193,41 @@ def rmsd_matrix(atoms: DataFrame, params: RmsdParams | None = None) -> tuple[lis
     return labels, out
 
 
-def deltas(features: DataFrame, reference_id: str, fields: list[str] | None = None) -> DataFrame:
-    """For every other structure: ``f``, ``reference_f`` and ``delta_f`` of the numeric fields."""
+def deltas(features: DataFrame, reference, fields: list[str] | None = None) -> DataFrame:
+    """For every other structure: ``f``, ``reference_f`` and ``delta_f`` of the numeric fields. ``reference``: a row with
+    structure_id and source_path."""
     numeric = [f.name for f in features.schema if f.dataType.typeName() in ("long", "integer", "double")]
     fields = sorted(set(fields)) if fields else sorted(numeric)
     for f in fields:
         if f not in numeric:
             raise ValueError(f"feature '{f}' is missing or not numeric")
-    one = features.where(F.col("structure_id") == reference_id).select(*(F.col(f).alias(f"reference_{f}") for f in fields)).limit(1)
-    rest = features.where(F.col("structure_id") != reference_id)
+    is_it = (F.col("structure_id") == reference["structure_id"]) & F.col("source_path").eqNullSafe(F.lit(reference["source_path"]))
+    one = features.where(is_it).select(*(F.col(f).alias(f"reference_{f}") for f in fields)).limit(1)
+    rest = features.where(~is_it)
     each = [x for f in fields for x in (F.col(f), F.col(f"reference_{f}"), (F.col(f) - F.col(f"reference_{f}")).alias(f"delta_{f}"))]
     return rest.crossJoin(F.broadcast(one)).select("structure_id", "source_path", *each)  # one row on the right
 
 
-def pick_reference(features: DataFrame, path: str | None = None, by: tuple[str, str] | None = None, auto: bool = False) -> str:
-    """The reference structure: by path, name, id or ``#index``; by the least or greatest field; by quality; the first."""
+def pick_reference(features: DataFrame, path: str | None = None, by: tuple[str, str] | None = None, auto: bool = False) -> Row:
+    """The reference's structure_id and source_path: by path, name, id or ``#index``; by the least or greatest field; by
+    quality; the first."""
+    shown = ["structure_id", "source_path"]
     order = features.orderBy("source_path", "structure_id")
     if path is not None:
-        if path.startswith("#"):
-            rows = order.select("structure_id").limit(int(path[1:]) + 1).collect()
+        if re.fullmatch(r"#\d+", path):
+            rows = order.select(*shown).limit(int(path[1:]) + 1).collect()
             if len(rows) <= int(path[1:]):
                 raise ValueError(f"reference index {path} is out of range")
-            return rows[-1]["structure_id"]
+            return rows[-1]
         name = F.regexp_extract("source_path", r"([^/]+)$", 1)
-        row = order.where((F.col("source_path") == path) | (name == path.rsplit("/", 1)[-1]) | (F.col("structure_id") == path)).first()
+        full = os.path.realpath(path) if os.path.exists(path) else path
+        plain = F.regexp_replace("source_path", "^file:/+", "/")
+        same = (F.col("source_path") == path) | (plain == full) | (name == path.rsplit("/", 1)[-1]) | (F.col("structure_id") == path)
+        # a whole path before a name, which several files may share
+        row = order.where(same).select(*shown, (plain == full).alias("exact")).orderBy(F.desc("exact"), *shown).first()
         if row is None:
             raise ValueError(f"unknown reference: {path}")
-        return row["structure_id"]
+        return row
     if by is not None:
         field, way = by
         if way not in ("min", "max"):
@@ -216,8 +235,8 @@ def pick_reference(features: DataFrame, path: str | None = None, by: tuple[str,
         if field not in features.columns:
             raise ValueError(f"feature '{field}' is missing or not numeric")
         key = F.col(field) if way == "min" else -F.col(field)
-        return features.agg(F.min_by("structure_id", F.struct(key, "source_path", "structure_id"))).first()[0]
+        return features.agg(F.min_by(F.struct(*shown), F.struct(key, "source_path", "structure_id"))).first()[0]
     if auto:
         key = F.struct("ramachandran_outlier_count", "clash_pair_count", "missing_backbone_residue_count", "source_path", "structure_id")
-        return features.agg(F.min_by("structure_id", key)).first()[0]
-    return order.first()["structure_id"]
+        return features.agg(F.min_by(F.struct(*shown), key)).first()[0]
+    return order.select(*shown).first()

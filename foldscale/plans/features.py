@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from foldscale.functions.chemistry import LigandFilter
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, summary, surface
 from foldscale.operators.interface import InterfaceParams
-from foldscale.operators.spatial import GRID_FROM, largest
 from foldscale.shared import stored
-from foldscale.sources.canonical import residues
+from foldscale.sources.canonical import readable, residues
 
 _ZERO_LONG = (
     "contact_count", "interface_contact_count", "interface_residue_count", "buried_residue_count", "exposed_residue_count",
@@ -32,7 +31,7 @@ def residue_features(atoms: DataFrame, areas: DataFrame | None = None) -> DataFr
     areas = areas if areas is not None else surface.atom_sasa(atoms)
     keys = ["structure_id", "res_ord"]
     r = residues(atoms).select(*keys, "residue_id", "chain_id", "residue_name", "seq_number", "bfactor_mean")
-    return (
+    return readable(
         r.join(surface.residue_sasa(atoms, areas).drop("residue_name"), keys)
         .join(backbone.secondary_structure(atoms).select(*keys, "secondary_structure"), keys)
         .join(backbone.dihedrals(atoms).select(*keys, "phi", "psi", "omega"), keys)
@@ -43,13 +42,13 @@ def features(
     atoms: DataFrame, ligand_filter: LigandFilter | None = None, binding_distance: float = 5.0,
     interface_params: InterfaceParams | None = None, clash_overlap: float = 0.4, grid: bool | None = None,
 ) -> DataFrame:
-    """The 54 features with structure_id and source_path. Atoms, areas and edges are computed once and shared."""
+    """The 54 features with structure_id and source_path, a row for each file. Atoms, areas and other steps that several
+    operators read are computed once and shared."""
     atoms = stored(atoms, "atoms")
-    grid = largest(atoms) >= GRID_FROM if grid is None else grid
     areas = stored(surface.atom_sasa(atoms), "areas")
     nodes = residues(atoms).select("structure_id", F.col("res_ord").alias("node"))
-    edges = stored(contacts.residue_graph(atoms, grid=grid), "edges")
-    between = contacts.interface_graph(atoms, grid=grid)
+    edges = contacts.residue_graph(atoms, grid=grid)
+    between = stored(contacts.interface_graph(atoms, grid=grid).select("structure_id", "a", "b"), "between")
     ends = between.select("structure_id", F.explode(F.array("a", "b")).alias("n"))
     per = surface.residue_sasa(atoms, areas).groupBy("structure_id").agg(
         F.sum("sasa").alias("sasa_total"), F.count_if(F.col("rsa") < 0.25).alias("buried_residue_count"),
@@ -78,7 +77,7 @@ def features(
         out = out.join(p, "structure_id", "left")
     out = out.fillna(0, [*_ZERO_LONG]).fillna(0.0, [*_ZERO_DOUBLE]).fillna("", ["interface_chain_a", "interface_chain_b"])
     names = sorted(c for c in out.columns if c not in ("structure_id", "source_path"))
-    return out.select("structure_id", "source_path", *names)
+    return readable(out.select("structure_id", "source_path", *names))
 
 
 def flat(table: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ class Recorder:
             self.store.execute("INSERT INTO runs VALUES (?, ?, datetime('now'))", (self.run_id, command))
             self.store.commit()
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.store:
+            self.store.close()
+
     def record(self, event: str, structure_id: str | None = None, **details) -> None:
         now = datetime.now(timezone.utc).isoformat()
         if self.store:

@@ -1,4 +1,4 @@
-"""Registered queries over the synthetic structures, each with the same question in SQL."""
+"""Registered queries over synthetic structures; the same questions in SQL are in ``oracle``."""
 
 from __future__ import annotations
 
@@ -9,320 +9,200 @@ from pyspark.sql import functions as F
 
 from foldscale.functions import chemistry as chem
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, summary, superpose, surface
+from foldscale.oracle import SQL
 from foldscale.plans import features as plans
+from foldscale.shared import stored
 from foldscale.sources.canonical import canonicalise, residues
 from foldscale.sources.scan import pdb_lines
-from foldscale.sources.synthetic import ATOMS_SQL, atoms_from_orders
+from foldscale.sources.synthetic import altloc_rows, atoms_from_orders, lattice_atoms, ring_atoms, thinned
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = f"WITH {ATOMS_SQL} {sql}"
-        return f
-
-    return add
+def _query(f):
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-_DIST = "sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))"
-_HEAVY = "element <> 'H'"
+def _text(column: str):
+    """An array as text, for comparison."""
+    return F.concat_ws(",", F.transform(column, lambda x: x.cast("string"))).alias(column)
 
 
-@_query("""SELECT structure_id, CAST(count(DISTINCT chain_index) AS BIGINT) AS chain_count, count(DISTINCT res_ord) AS residue_count,
-  count(*) AS atom_count, count(*) FILTER (is_hetero) AS heteroatom_count, count(DISTINCT res_ord) FILTER (is_hetero) AS ligand_count
-  FROM ids GROUP BY 1""")
+@_query
 def structure_summary(spark, sf_dir):
     return summary.summary(atoms_from_orders(spark, sf_dir))
 
 
-@_query("""SELECT structure_id, round(avg(x), 4) + 0.0 AS cx, round(avg(y), 4) + 0.0 AS cy, round(avg(z), 4) + 0.0 AS cz,
-  round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 4) + 0.0 AS radius_of_gyration, round(avg(temp_factor), 4) + 0.0 AS bfactor_mean,
-  round(stddev_pop(temp_factor), 4) + 0.0 AS bfactor_std, min(temp_factor) AS bfactor_min, max(temp_factor) AS bfactor_max
-  FROM ids GROUP BY 1""")
+def _centroid(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"c{c}": F.col("centroid")[i] for i, c in enumerate("xyz")}).drop("centroid")
+
+
+@_query
 def structure_moments(spark, sf_dir):
-    m = summary.moments(atoms_from_orders(spark, sf_dir))
-    m = m.select("structure_id", *(F.col("centroid")[i].alias(f"c{c}") for i, c in enumerate("xyz")), "radius_of_gyration", "bfactor_mean", "bfactor_std", "bfactor_min", "bfactor_max")
+    m = _centroid(summary.moments(atoms_from_orders(spark, sf_dir)))
     return _rounded(m, "cx", "cy", "cz", "radius_of_gyration", "bfactor_mean", "bfactor_std")
 
 
-_RESIDUES = """res AS (SELECT structure_id, res_ord, chain_index, residue_index, seq_number, residue_name, is_hetero,
-  avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ids GROUP BY ALL)"""
-_GRAPH = f"""{_RESIDUES}, cov AS (SELECT p.structure_id, p.res_ord AS a, q.res_ord AS b, {_DIST} AS d FROM res p JOIN res q
-    ON p.structure_id = q.structure_id AND p.chain_index = q.chain_index AND q.residue_index = p.residue_index + 1
-    WHERE abs(q.seq_number - p.seq_number) = 1),
-  near AS (SELECT p.structure_id, p.res_ord AS a, q.res_ord AS b, {_DIST} AS d FROM res p JOIN res q
-    ON p.structure_id = q.structure_id AND p.res_ord < q.res_ord WHERE {_DIST} <= 8.0),
-  edges AS (SELECT *, 'covalent_adjacency' AS kind FROM cov UNION ALL SELECT *, 'distance_contact' FROM near n
-    WHERE NOT EXISTS (SELECT 1 FROM cov c WHERE c.structure_id = n.structure_id AND c.a = n.a AND c.b = n.b))"""
+def _edges(df: DataFrame) -> DataFrame:
+    return _rounded(df, "distance").select("structure_id", "a", "b", "kind", "distance")
 
 
-@_query(f", {_GRAPH} SELECT structure_id, a, b, kind, round(d, 4) + 0.0 AS distance FROM edges")
+@_query
 def residue_contact_graph(spark, sf_dir):
-    return _rounded(contacts.residue_graph(atoms_from_orders(spark, sf_dir), grid=False), "distance").select("structure_id", "a", "b", "kind", "distance")
+    """By the structure alone, without the grid."""
+    return _edges(contacts.residue_graph(atoms_from_orders(spark, sf_dir), grid=False))
 
 
-@_query(f", {_GRAPH} SELECT structure_id, a, b, kind, round(d, 4) + 0.0 AS distance FROM edges")
+@_query
 def residue_contact_graph_grid(spark, sf_dir):
-    return _rounded(contacts.residue_graph(atoms_from_orders(spark, sf_dir), grid=True), "distance").select("structure_id", "a", "b", "kind", "distance")
+    return _edges(contacts.residue_graph(atoms_from_orders(spark, sf_dir)))
 
 
-@_query(f""", {_RESIDUES} SELECT p.structure_id, p.res_ord AS a, q.res_ord AS b, round({_DIST}, 4) + 0.0 AS distance FROM res p JOIN res q
-  ON p.structure_id = q.structure_id AND p.res_ord < q.res_ord AND p.chain_index <> q.chain_index WHERE {_DIST} <= 8.0""")
+@_query
 def interface_contact_graph(spark, sf_dir):
-    return _rounded(contacts.interface_graph(atoms_from_orders(spark, sf_dir), grid=False), "distance").select("structure_id", "a", "b", "distance")
+    return _edges(contacts.interface_graph(atoms_from_orders(spark, sf_dir))).drop("kind")
+
+
+@_query
+def residue_interaction_graph(spark, sf_dir):
+    """The residue graph with typed interactions merged in."""
+    atoms = stored(atoms_from_orders(spark, sf_dir), "atoms")
+    return _edges(contacts.residue_graph(atoms, interactions=interactions.interactions(atoms)))
 
 
-@_query(f"""SELECT p.structure_id, count(*) AS edges, round(sum({_DIST}), 3) + 0.0 AS total FROM ids p JOIN ids q
-  ON p.structure_id = q.structure_id AND p.atom_ord < q.atom_ord WHERE {_DIST} <= 5.0 GROUP BY 1""")
+@_query
+def interface_interaction_graph(spark, sf_dir):
+    atoms = stored(atoms_from_orders(spark, sf_dir), "atoms")
+    return _edges(contacts.interface_graph(atoms, interactions=interactions.interactions(atoms)))
+
+
+@_query
 def atom_contact_graph(spark, sf_dir):
-    g = contacts.atom_graph(atoms_from_orders(spark, sf_dir), grid=False)
+    g = contacts.atom_graph(atoms_from_orders(spark, sf_dir))
     return _rounded(g.groupBy("structure_id").agg(F.count("*").alias("edges"), F.sum("distance").alias("total")), "total", digits=3)
 
 
-@_query(f""", {_GRAPH}, sym AS (SELECT structure_id, a, b FROM edges UNION ALL SELECT structure_id, b, a FROM edges),
-  deg AS (SELECT r.structure_id, r.res_ord AS node, count(s.b) AS k FROM res r LEFT JOIN sym s ON s.structure_id = r.structure_id AND s.a = r.res_ord GROUP BY ALL),
-  tri AS (SELECT u.structure_id, u.a AS node, count(*) AS t FROM sym u JOIN sym v ON u.structure_id = v.structure_id AND u.a = v.a AND u.b < v.b
-    JOIN sym w ON w.structure_id = u.structure_id AND w.a = u.b AND w.b = v.b GROUP BY ALL)
-  SELECT d.structure_id, CAST(sum(k) / 2 AS BIGINT) AS contact_count, round((sum(k) / 2) / (count(*) * (count(*) - 1) / 2), 6) + 0.0 AS graph_density,
-    round(avg(CASE WHEN k >= 2 THEN coalesce(t, 0) / (k * (k - 1) / 2) ELSE 0 END), 6) + 0.0 AS clustering_coefficient,
-    string_agg(CAST(k AS VARCHAR), ',' ORDER BY d.node) AS degrees FROM deg d LEFT JOIN tri USING (structure_id, node) GROUP BY 1""")
-def residue_graph_statistics(spark, sf_dir):
-    atoms = atoms_from_orders(spark, sf_dir)
-    nodes = residues(atoms).select("structure_id", F.col("res_ord").alias("node"))
-    s = contacts.graph_statistics(nodes, contacts.residue_graph(atoms, grid=False))
-    s = s.select("structure_id", "contact_count", "graph_density", "clustering_coefficient", F.concat_ws(",", F.transform("degree_distribution", lambda x: x.cast("string"))).alias("degrees"))
-    return _rounded(s, "graph_density", "clustering_coefficient", digits=6)
+@_query
+def large_structure_contacts(spark, sf_dir):
+    """The atom graph of structures of 30,000 atoms."""
+    g = contacts.atom_graph(lattice_atoms(spark, sf_dir))
+    return _rounded(g.groupBy("structure_id").agg(F.count("*").alias("edges"), F.sum("distance").alias("total")), "total", digits=3)
 
 
-@_query()
-def residue_graph_components(spark, sf_dir):
-    atoms = atoms_from_orders(spark, sf_dir)
+def _graph(atoms: DataFrame) -> DataFrame:
     nodes = residues(atoms).select("structure_id", F.col("res_ord").alias("node"))
-    return contacts.connected_components(nodes, contacts.residue_graph(atoms, grid=False))
+    return contacts.graph_statistics(nodes, contacts.residue_graph(atoms))
+
+
+@_query
+def residue_graph_statistics(spark, sf_dir):
+    s = _graph(atoms_from_orders(spark, sf_dir)).withColumn("degrees", _text("degree_distribution"))
+    return _rounded(s.drop("degree_distribution", "connected_components"), "graph_density", "clustering_coefficient", digits=6)
 
 
-def _kind_sql() -> str:
-    acid, base = tuple(chem.ACIDIC_OXYGENS), tuple(chem.BASIC_NITROGENS)
-    pair = f"((pk IN {acid} AND qk IN {base}) OR (qk IN {acid} AND pk IN {base}))"
-    return f""", pairs AS (SELECT p.structure_id, p.residue_name || ' ' || p.atom_name AS pk, q.residue_name || ' ' || q.atom_name AS qk,
-      p.residue_name AS pr, q.residue_name AS qr, p.atom_name AS pn, q.atom_name AS qn, p.residue_id AS pi, q.residue_id AS qi, {_DIST} AS d
-      FROM ids p JOIN ids q ON p.structure_id = q.structure_id AND p.atom_ord < q.atom_ord WHERE {_DIST} <= 4.5),
-    kinds AS (SELECT structure_id, d, CASE WHEN pk = 'CYS SG' AND qk = 'CYS SG' AND d < 2.5 THEN 'disulfide'
-      WHEN {pair} AND d < 4.0 THEN 'salt_bridge'
-      WHEN pi <> qi AND left(pn, 1) IN ('N','O') AND left(qn, 1) IN ('N','O') AND d BETWEEN 2.4 AND 3.5 THEN 'hydrogen_bond' END AS kind FROM pairs WHERE d <= 4.0
-      UNION ALL SELECT structure_id, d, 'hydrophobic' FROM pairs WHERE pi <> qi AND d < 4.5 AND pr IN {chem.HYDROPHOBIC} AND qr IN {chem.HYDROPHOBIC}
-        AND left(pn, 1) = 'C' AND left(qn, 1) = 'C' AND pn NOT IN ('C','CA') AND qn NOT IN ('C','CA'))
-    SELECT structure_id, kind, count(*) AS n, round(sum(d), 3) + 0.0 AS total FROM kinds WHERE kind IS NOT NULL GROUP BY ALL"""
+@_query
+def residue_graph_components(spark, sf_dir):
+    return _graph(atoms_from_orders(spark, sf_dir)).select("structure_id", "connected_components")
 
 
-@_query(_kind_sql())
+@_query
 def typed_interactions(spark, sf_dir):
-    found = interactions.interactions(atoms_from_orders(spark, sf_dir), grid=False)
+    found = interactions.interactions(atoms_from_orders(spark, sf_dir))
     return _rounded(found.groupBy("structure_id", "kind").agg(F.count("*").alias("n"), F.sum("distance").alias("total")), "total", digits=3)
 
 
-def ring_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structures of aromatic and basic residues of ten atoms each, so that ring interactions occur."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    div = lambda a, b: F.floor(a / F.lit(b)).cast("long")
-    w = k % 600
-    o = o.select(div(k, 600).alias("s"), c.alias("c"), w.alias("w"), div(w, 10).alias("r"), (w % 10).cast("int").alias("a"))
-    r, a = F.col("r"), F.col("a")
-    names = {0: "PHE", 1: "TYR", 2: "LYS"}
-    name = F.when(r % 3 == 0, names[0]).when(r % 3 == 1, names[1]).otherwise(names[2])
-    ring = F.array(*map(F.lit, "N CA C O CG CD1 CD2 CE1 CE2 CZ".split()))
-    lys = F.array(*map(F.lit, "N CA C O CB CG CD CE NZ HZ".split()))
-    atom = F.element_at(F.when(r % 3 == 2, lys).otherwise(ring), a + 1)
-    at = {"x": (r % 4) * 3900 + a * 350 + (F.col("c") * 7919) % 397, "y": (div(r, 4) % 4) * 3900 + (a * a * 310) % 1700, "z": div(r, 16) * 3900 + (a * 700) % 1900 + (F.col("c") * 104729) % 397}
-    sid = F.concat(F.lit("t"), F.col("s").cast("string"))
-    return o.select(
-        sid.alias("structure_id"), F.lit(0).alias("chain_index"), r.cast("int").alias("res_ord"), r.cast("int").alias("residue_index"),
-        F.concat_ws(":", sid, F.lit("A"), r.cast("string"), F.lit("_")).alias("residue_id"), name.alias("residue_name"), atom.alias("atom_name"),
-        F.col("w").alias("atom_ord"), F.concat_ws(":", sid, F.lit("A"), r.cast("string"), F.lit("_"), a.cast("string"), atom).alias("atom_id"),
-        *((v.cast("double") / F.lit(1000.0)).alias(n) for n, v in at.items()),
-    )
-
-
-_RING_SQL = """WITH base AS (SELECT o_orderkey // 600 AS s, o_custkey AS c, o_orderkey % 600 AS w, (o_orderkey % 600) // 10 AS r, (o_orderkey % 600) % 10 AS a FROM orders),
-  pos AS (SELECT 't' || s AS structure_id, r, a, r % 3 AS kind, ((r % 4) * 3900 + a * 350 + (c * 7919) % 397) / 1000.0::DOUBLE AS x,
-    (((r // 4) % 4) * 3900 + (a * a * 310) % 1700) / 1000.0::DOUBLE AS y, ((r // 16) * 3900 + (a * 700) % 1900 + (c * 104729) % 397) / 1000.0::DOUBLE AS z FROM base),
-  full_rings AS (SELECT structure_id, r, avg(x) FILTER (a >= 4) AS x, avg(y) FILTER (a >= 4) AS y, avg(z) FILTER (a >= 4) AS z,
-    max(x) FILTER (a = 5) - max(x) FILTER (a = 4) AS ux, max(y) FILTER (a = 5) - max(y) FILTER (a = 4) AS uy, max(z) FILTER (a = 5) - max(z) FILTER (a = 4) AS uz,
-    max(x) FILTER (a = 8) - max(x) FILTER (a = 4) AS vx, max(y) FILTER (a = 8) - max(y) FILTER (a = 4) AS vy, max(z) FILTER (a = 8) - max(z) FILTER (a = 4) AS vz
-    FROM pos WHERE kind < 2 GROUP BY ALL HAVING count(*) = 10),
-  raw AS (SELECT *, uy*vz-uz*vy AS nx, uz*vx-ux*vz AS ny, ux*vy-uy*vx AS nz FROM full_rings),
-  rings AS (SELECT structure_id, r, x, y, z, nx / sqrt(nx*nx+ny*ny+nz*nz) AS nx, ny / sqrt(nx*nx+ny*ny+nz*nz) AS ny, nz / sqrt(nx*nx+ny*ny+nz*nz) AS nz FROM raw),
-  pp AS (SELECT p.structure_id, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS d,
-    degrees(acos(least(abs(p.nx*q.nx+p.ny*q.ny+p.nz*q.nz), 1.0))) AS t FROM rings p JOIN rings q ON p.structure_id = q.structure_id AND p.r < q.r),
-  found AS (SELECT structure_id, CASE WHEN t < 30 THEN 'pi_pi_parallel' WHEN t BETWEEN 60 AND 90 THEN 'pi_pi_perpendicular' END AS kind FROM pp WHERE d < 5.5
-    UNION ALL SELECT q.structure_id, 'cation_pi' FROM rings q JOIN pos p ON p.structure_id = q.structure_id AND p.kind = 2 AND p.a = 8
-      WHERE sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) < 6.0)
-  SELECT structure_id, kind, count(*) AS n FROM found WHERE kind IS NOT NULL GROUP BY ALL"""
-
-
-@_query()
+@_query
 def ring_interactions(spark, sf_dir):
     atoms = ring_atoms(spark, sf_dir)
-    found = interactions.cation_pi(atoms, grid=False).unionByName(interactions.pi_pi(atoms, grid=False))
+    found = interactions.cation_pi(atoms).unionByName(interactions.pi_pi(atoms))
     return found.groupBy("structure_id", "kind").agg(F.count("*").alias("n"))
 
 
-_SQL["ring_interactions"] = _RING_SQL
-
-
-_BB = """bb AS (SELECT structure_id, chain_index, residue_index, res_ord, residue_name, seq_number,
-  max(x) FILTER (atom_name='N') AS nx, max(y) FILTER (atom_name='N') AS ny, max(z) FILTER (atom_name='N') AS nz,
-  max(x) FILTER (atom_name='CA') AS ax, max(y) FILTER (atom_name='CA') AS ay, max(z) FILTER (atom_name='CA') AS az,
-  max(x) FILTER (atom_name='C') AS cx, max(y) FILTER (atom_name='C') AS cy, max(z) FILTER (atom_name='C') AS cz,
-  max(x) FILTER (atom_name='O') AS ox, max(y) FILTER (atom_name='O') AS oy, max(z) FILTER (atom_name='O') AS oz FROM ids GROUP BY ALL)"""
-
-
-def _torsion_sql(a, b, c, d) -> str:
-    v = lambda p, q, k: f"({q}{k}-{p}{k})"
-    u = {i: [v(p, q, k) for k in "xyz"] for i, (p, q) in enumerate(((a, b), (b, c), (c, d)))}
-    cross = lambda m, n: [f"({m[1]}*{n[2]}-{m[2]}*{n[1]})", f"({m[2]}*{n[0]}-{m[0]}*{n[2]})", f"({m[0]}*{n[1]}-{m[1]}*{n[0]})"]
-    dot = lambda m, n: f"({m[0]}*{n[0]}+{m[1]}*{n[1]}+{m[2]}*{n[2]})"
-    n1, n2 = cross(u[0], u[1]), cross(u[1], u[2])
-    return f"degrees(atan2({dot(cross(n1, n2), u[1])} / sqrt({dot(u[1], u[1])}), {dot(n1, n2)}))"
-
-
-_DIHEDRALS = f"""{_BB}, nb AS (SELECT *, lag(cx) OVER w AS pcx, lag(cy) OVER w AS pcy, lag(cz) OVER w AS pcz, lag(ax) OVER w AS pax, lag(ay) OVER w AS pay, lag(az) OVER w AS paz,
-    lead(nx) OVER w AS nnx, lead(ny) OVER w AS nny, lead(nz) OVER w AS nnz FROM bb WINDOW w AS (PARTITION BY structure_id, chain_index ORDER BY residue_index)),
-  dih AS (SELECT structure_id, res_ord, residue_name, {_torsion_sql('pc', 'n', 'a', 'c')} AS phi, {_torsion_sql('n', 'a', 'c', 'nn')} AS psi, {_torsion_sql('pa', 'pc', 'n', 'a')} AS omega FROM nb)"""
-
-
-@_query(f", {_DIHEDRALS} SELECT structure_id, res_ord, round(phi, 3) + 0.0 AS phi, round(psi, 3) + 0.0 AS psi, round(omega, 3) + 0.0 AS omega FROM dih")
+@_query
 def backbone_torsions(spark, sf_dir):
     return _rounded(backbone.dihedrals(atoms_from_orders(spark, sf_dir)).select("structure_id", "res_ord", "phi", "psi", "omega"), "phi", "psi", "omega", digits=3)
 
 
-_IN = lambda x0, x1, y0, y1: f"(phi >= {x0} AND phi < {x1} AND psi >= {y0} AND psi < {y1})"
-_RAMA = f"""CASE WHEN phi IS NULL OR psi IS NULL THEN NULL
-  WHEN residue_name = 'GLY' THEN CASE WHEN {_IN(-150, -33, -78, -12)} OR {_IN(-180, -60, 30, 180)} THEN 'favored' WHEN {_IN(-180, 180, -180, 80)} OR {_IN(-180, -60, 80, 180)} THEN 'allowed' ELSE 'outlier' END
-  WHEN residue_name = 'PRO' THEN CASE WHEN {_IN(-100, -30, -30, 180)} THEN 'favored' WHEN {_IN(-180, 180, -180, 180)} THEN 'allowed' ELSE 'outlier' END
-  ELSE CASE WHEN {_IN(-150, -33, -78, -12)} OR {_IN(-180, -90, 110, 180)} OR {_IN(90, 180, 110, 180)} THEN 'favored' WHEN {_IN(-180, 180, -180, 180)} THEN 'allowed' ELSE 'outlier' END END"""
-
-
-@_query(f", {_DIHEDRALS} SELECT residue_name, {_RAMA} AS class, count(*) AS n FROM dih GROUP BY ALL")
+@_query
 def ramachandran_classes(spark, sf_dir):
     d = backbone.dihedrals(atoms_from_orders(spark, sf_dir))
-    return d.select("residue_name", chem.ramachandran(F.col("phi"), F.col("psi"), F.col("residue_name")).alias("class")).groupBy("residue_name", "class").agg(F.count("*").alias("n"))
-
+    kind = chem.ramachandran(F.col("phi"), F.col("psi"), F.col("residue_name")).alias("class")
+    return d.select("residue_name", kind).groupBy("residue_name", "class").agg(F.count("*").alias("n"))
 
-_VDW = "CASE element WHEN 'H' THEN 1.20 WHEN 'C' THEN 1.70 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 WHEN 'S' THEN 1.80 ELSE 1.70 END::DOUBLE"
-_CLASH = f"""heavy AS (SELECT *, {_VDW} AS vdw FROM ids WHERE residue_name NOT IN ('HOH', 'HEM')),
-  clash AS (SELECT p.structure_id, p.residue_id AS ra, q.residue_id AS rb, {_DIST} AS d FROM heavy p JOIN heavy q ON p.structure_id = q.structure_id AND p.atom_ord < q.atom_ord
-    WHERE p.residue_id <> q.residue_id AND NOT (p.chain_index = q.chain_index AND abs(p.residue_index - q.residue_index) = 1) AND {_DIST} < p.vdw + q.vdw - 0.4::DOUBLE)"""
 
-
-@_query(f", {_CLASH} SELECT structure_id, ra AS residue_a, rb AS residue_b, count(*) AS n, round(min(d), 4) + 0.0 AS nearest FROM clash GROUP BY ALL")
+@_query
 def steric_clashes(spark, sf_dir):
-    c = quality.clashes(atoms_from_orders(spark, sf_dir), grid=False)
+    c = quality.clashes(atoms_from_orders(spark, sf_dir))
     g = c.groupBy("structure_id", F.col("residue_id_a").alias("residue_a"), F.col("residue_id_b").alias("residue_b")).agg(F.count("*").alias("n"), F.min("distance").alias("nearest"))
     return _rounded(g, "nearest")
 
 
-@_query(f""", {_DIHEDRALS}, {_CLASH}, judged AS (SELECT structure_id, {_RAMA} AS class FROM dih WHERE residue_name NOT IN ('HOH', 'HEM')),
-  pairs AS (SELECT structure_id, count(*) AS n FROM clash GROUP BY 1)
-  SELECT j.structure_id, count(*) AS quality_residue_count, count(class) AS ramachandran_evaluated_count, count(*) FILTER (class = 'favored') AS ramachandran_favored_count,
-    count(*) FILTER (class = 'allowed') AS ramachandran_allowed_count, count(*) FILTER (class = 'outlier') AS ramachandran_outlier_count,
-    CAST(0 AS BIGINT) AS missing_backbone_residue_count, coalesce(max(p.n), 0) AS clash_pair_count FROM judged j LEFT JOIN pairs p USING (structure_id) GROUP BY 1""")
+@_query
 def model_quality_summary(spark, sf_dir):
-    return quality.quality_summary(atoms_from_orders(spark, sf_dir), grid=False)
+    return quality.quality_summary(atoms_from_orders(spark, sf_dir))
+
 
+def _judged(df: DataFrame, *columns: str) -> DataFrame:
+    df = df.withColumn("missing_backbone", F.concat_ws(",", "missing_backbone"))
+    return _rounded(df, "phi", "psi", digits=3).select("structure_id", "residue_id", *columns, "phi", "psi", "ramachandran", "missing_backbone", "clash_count")
 
-@_query(f""", {_CLASH}, sides AS (SELECT structure_id, ra AS residue_id FROM clash UNION ALL SELECT structure_id, rb FROM clash)
-  SELECT structure_id, residue_id, count(*) AS clash_count FROM sides GROUP BY ALL""")
+
+@_query
 def problem_residues(spark, sf_dir):
-    q = quality.residue_quality(atoms_from_orders(spark, sf_dir), all_residues=False, grid=False)
-    return q.where("clash_count > 0").select("structure_id", "residue_id", "clash_count")
+    return _judged(quality.residue_quality(atoms_from_orders(spark, sf_dir), all_residues=False), "chain_id", "residue_name", "seq_number")
+
+
+@_query
+def quality_of_incomplete_models(spark, sf_dir):
+    """Every judged residue of structures with a thirteenth of their atoms left out."""
+    return _judged(quality.residue_quality(thinned(atoms_from_orders(spark, sf_dir))))
 
 
-_HB = f"""{_BB}, prev AS (SELECT *, lag(cx) OVER w AS pcx, lag(cy) OVER w AS pcy, lag(cz) OVER w AS pcz, lag(ox) OVER w AS pox, lag(oy) OVER w AS poy, lag(oz) OVER w AS poz FROM bb
-    WINDOW w AS (PARTITION BY structure_id, chain_index ORDER BY residue_index)),
-  leng AS (SELECT *, sqrt((pcx-pox)*(pcx-pox)+(pcy-poy)*(pcy-poy)+(pcz-poz)*(pcz-poz)) AS l FROM prev WHERE pcx IS NOT NULL AND residue_name <> 'PRO'),
-  don AS (SELECT *, nx + (pcx-pox)/l AS hx, ny + (pcy-poy)/l AS hy, nz + (pcz-poz)/l AS hz FROM leng WHERE l > 1e-6),
-  r AS (SELECT a.structure_id, a.res_ord AS i, d.res_ord AS j,
-    sqrt((a.ox-d.nx)*(a.ox-d.nx)+(a.oy-d.ny)*(a.oy-d.ny)+(a.oz-d.nz)*(a.oz-d.nz)) AS r_on, sqrt((a.cx-d.hx)*(a.cx-d.hx)+(a.cy-d.hy)*(a.cy-d.hy)+(a.cz-d.hz)*(a.cz-d.hz)) AS r_ch,
-    sqrt((a.ox-d.hx)*(a.ox-d.hx)+(a.oy-d.hy)*(a.oy-d.hy)+(a.oz-d.hz)*(a.oz-d.hz)) AS r_oh, sqrt((a.cx-d.nx)*(a.cx-d.nx)+(a.cy-d.ny)*(a.cy-d.ny)+(a.cz-d.nz)*(a.cz-d.nz)) AS r_cn
-    FROM bb a JOIN don d ON a.structure_id = d.structure_id AND a.res_ord <> d.res_ord
-    WHERE sqrt((a.ax-d.ax)*(a.ax-d.ax)+(a.ay-d.ay)*(a.ay-d.ay)+(a.az-d.az)*(a.az-d.az)) <= 9.0),
-  hb AS (SELECT structure_id, i, j FROM r WHERE least(r_on, r_ch, r_oh, r_cn) >= 1e-3 AND 27.888::DOUBLE * (1.0::DOUBLE/r_on + 1.0::DOUBLE/r_ch - 1.0::DOUBLE/r_oh - 1.0::DOUBLE/r_cn) < -0.5)"""
+@_query
+def states_of_incomplete_models(spark, sf_dir):
+    return backbone.secondary_structure(thinned(atoms_from_orders(spark, sf_dir))).select("structure_id", "res_ord", "secondary_structure")
 
 
-@_query(f", {_HB} SELECT structure_id, i, j FROM hb")
+@_query
 def backbone_hydrogen_bonds(spark, sf_dir):
     return backbone.hydrogen_bonds(atoms_from_orders(spark, sf_dir))
 
 
-_SS = f"""{_HB}, ch AS (SELECT DISTINCT structure_id, res_ord, chain_index, residue_index, 20 AS len FROM ids),
-  helix AS (SELECT h.structure_id, unnest(range(h.i, h.i + v.n)) AS res_ord, v.rank FROM hb h JOIN (VALUES (4, 5), (3, 3), (5, 2)) v(n, rank) ON h.j = h.i + v.n
-    JOIN hb g ON g.structure_id = h.structure_id AND g.i = h.i - 1 AND g.j = h.j - 1
-    JOIN ch c0 ON c0.structure_id = h.structure_id AND c0.res_ord = h.i - 1 JOIN ch c1 ON c1.structure_id = h.structure_id AND c1.res_ord = h.j AND c1.chain_index = c0.chain_index),
-  mid AS (SELECT c.structure_id, c.res_ord FROM ch c JOIN ch p ON p.structure_id = c.structure_id AND p.chain_index = c.chain_index AND p.res_ord = c.res_ord - 1
-    JOIN ch n ON n.structure_id = c.structure_id AND n.chain_index = c.chain_index AND n.res_ord = c.res_ord + 1),
-  br AS (SELECT a.structure_id, a.i + 1 AS i, a.j AS j FROM hb a JOIN hb b ON b.structure_id = a.structure_id AND b.i = a.j AND b.j = a.i + 2 SEMI JOIN mid m ON m.structure_id = a.structure_id AND m.res_ord = a.i + 1
-    UNION ALL SELECT a.structure_id, a.j, a.i + 1 FROM hb a JOIN hb b ON b.structure_id = a.structure_id AND b.i = a.j AND b.j = a.i + 2 SEMI JOIN mid m ON m.structure_id = a.structure_id AND m.res_ord = a.i + 1
-    UNION ALL SELECT a.structure_id, a.i, a.j FROM hb a JOIN hb b ON b.structure_id = a.structure_id AND b.i = a.j AND b.j = a.i
-    UNION ALL SELECT a.structure_id, a.i + 1, a.j - 1 FROM hb a JOIN hb b ON b.structure_id = a.structure_id AND b.i = a.j - 2 AND b.j = a.i + 2
-      SEMI JOIN mid m ON m.structure_id = a.structure_id AND m.res_ord = a.i + 1 SEMI JOIN mid o ON o.structure_id = a.structure_id AND o.res_ord = a.j - 1),
-  bridge AS (SELECT b.* FROM br b JOIN ch x ON x.structure_id = b.structure_id AND x.res_ord = b.i JOIN ch y ON y.structure_id = b.structure_id AND y.res_ord = b.j
-    WHERE b.i < b.j AND (x.chain_index <> y.chain_index OR b.j > b.i + 2)),
-  best AS (SELECT structure_id, res_ord, max(rank) AS rank FROM (SELECT * FROM helix UNION ALL SELECT structure_id, i, 4 FROM bridge UNION ALL SELECT structure_id, j, 4 FROM bridge) GROUP BY ALL)
-  SELECT c.structure_id, c.res_ord, CASE rank WHEN 5 THEN 'H' WHEN 4 THEN 'E' WHEN 3 THEN 'G' WHEN 2 THEN 'I' ELSE 'C' END AS secondary_structure
-  FROM ch c LEFT JOIN best b USING (structure_id, res_ord)"""
-
-
-@_query(f", {_SS}")
+@_query
 def secondary_structure_states(spark, sf_dir):
     return backbone.secondary_structure(atoms_from_orders(spark, sf_dir)).select("structure_id", "res_ord", "secondary_structure")
 
 
-_PTS = """k AS (SELECT unnest(range(92)) AS k), pts AS (SELECT k, cos(pi()*(1.0+sqrt(5.0::DOUBLE))*(k+0.5::DOUBLE)) * sqrt(greatest(1.0-(1.0-2.0*(k+0.5::DOUBLE)/92)*(1.0-2.0*(k+0.5::DOUBLE)/92), 0)) AS ux,
-    1.0-2.0*(k+0.5::DOUBLE)/92 AS uy, sin(pi()*(1.0+sqrt(5.0::DOUBLE))*(k+0.5::DOUBLE)) * sqrt(greatest(1.0-(1.0-2.0*(k+0.5::DOUBLE)/92)*(1.0-2.0*(k+0.5::DOUBLE)/92), 0)) AS uz FROM k)"""
-
-
-@_query(f""", {_PTS}, sph AS (SELECT *, {_VDW} + 1.4::DOUBLE AS r FROM ids),
-  nbr AS (SELECT p.structure_id, p.atom_ord, p.x, p.y, p.z, p.r, q.x AS qx, q.y AS qy, q.z AS qz, q.r AS qr FROM sph p JOIN sph q
-    ON p.structure_id = q.structure_id AND p.atom_ord <> q.atom_ord WHERE {_DIST} < p.r + q.r),
-  covered AS (SELECT DISTINCT structure_id, atom_ord, k FROM nbr, pts WHERE
-    (x+ux*r-qx)*(x+ux*r-qx)+(y+uy*r-qy)*(y+uy*r-qy)+(z+uz*r-qz)*(z+uz*r-qz) <= qr*qr),
-  n AS (SELECT structure_id, atom_ord, count(*) AS c FROM covered GROUP BY ALL)
-  SELECT s.structure_id, sum(92 - coalesce(c, 0))::BIGINT AS points FROM sph s LEFT JOIN n USING (structure_id, atom_ord) GROUP BY 1""")
+@_query
 def accessible_surface_points(spark, sf_dir):
     return surface.atom_sasa(atoms_from_orders(spark, sf_dir)).groupBy("structure_id").agg(F.sum("points").alias("points"))
 
 
-@_query(f""", m AS (SELECT p.structure_id, p.chain_label AS chain_a, q.chain_label AS chain_b, p.res_ord AS a, q.res_ord AS b, min({_DIST}) AS d FROM ids p JOIN ids q
-  ON p.structure_id = q.structure_id AND p.chain_label < q.chain_label GROUP BY ALL HAVING min({_DIST}) <= 8.0)
-  SELECT structure_id, chain_a, chain_b, count(*) AS contact_count FROM m GROUP BY ALL""")
+@_query
+def residue_surfaces(spark, sf_dir):
+    atoms = atoms_from_orders(spark, sf_dir)
+    r = surface.residue_sasa(atoms, surface.atom_sasa(atoms)).select("structure_id", "res_ord", "sasa", "rsa")
+    return _rounded(_rounded(r, "sasa"), "rsa", digits=6)
+
+
+@_query
 def chain_pair_contacts(spark, sf_dir):
-    return interface.chain_contacts(atoms_from_orders(spark, sf_dir), grid=False)
+    return interface.chain_contacts(atoms_from_orders(spark, sf_dir))
 
 
-@_query(f""", lig AS (SELECT * FROM ids WHERE residue_name = 'HEM'), site AS (SELECT DISTINCT p.structure_id, p.residue_id AS ligand_id, q.residue_id FROM lig p JOIN ids q
-    ON p.structure_id = q.structure_id AND NOT q.is_hetero WHERE {_DIST} <= 5.0),
-  pair AS (SELECT p.structure_id, p.residue_id AS ligand_id, {_DIST} AS d, p.atom_name AS pn, q.atom_name AS qn, q.residue_name AS qr FROM lig p JOIN ids q ON p.structure_id = q.structure_id AND q.residue_name <> 'HEM' WHERE {_DIST} <= 4.5),
-  cnt AS (SELECT structure_id, ligand_id, count(*) FILTER (d < 4.5) AS contact, count(*) FILTER (left(pn,1) IN ('N','O') AND left(qn,1) IN ('N','O') AND d BETWEEN 2.4 AND 3.5) AS hydrogen_bond,
-    count(*) FILTER (d < 4.5 AND left(pn,1) = 'C' AND qr IN {chem.HYDROPHOBIC} AND left(qn,1) = 'C' AND qn NOT IN ('C','CA')) AS hydrophobic FROM pair GROUP BY ALL)
-  SELECT l.structure_id, l.residue_id AS ligand_id, coalesce(any_value(s.n), 0) AS site_residues, coalesce(any_value(c.contact), 0) AS contact, coalesce(any_value(c.hydrogen_bond), 0) AS hydrogen_bond,
-    coalesce(any_value(c.hydrophobic), 0) AS hydrophobic FROM lig l LEFT JOIN (SELECT structure_id, ligand_id, count(*) AS n FROM site GROUP BY ALL) s ON s.structure_id = l.structure_id AND s.ligand_id = l.residue_id
-    LEFT JOIN cnt c ON c.structure_id = l.structure_id AND c.ligand_id = l.residue_id GROUP BY ALL""")
+@_query
 def ligand_binding_sites(spark, sf_dir):
-    f = ligands.ligand_features(atoms_from_orders(spark, sf_dir), grid=False)
-    return f.select("structure_id", "ligand_id", F.size("binding_site_residues").cast("long").alias("site_residues"), *(F.col("interactions")[k].alias(k) for k in ("contact", "hydrogen_bond", "hydrophobic")))
+    f = _rounded(ligands.ligand_features(atoms_from_orders(spark, sf_dir)), "sasa")
+    counts = (F.col("interactions")[k].alias(k) for k in ("contact", "hydrogen_bond", "salt_bridge", "hydrophobic"))
+    return f.select("structure_id", "ligand_id", "chain_id", "seq_number", "sasa", F.size("binding_site_residues").cast("long").alias("site_residues"), *counts)
 
 
-@_query("SELECT structure_id, chain_label AS chain, residue_index, residue_name, count(*) AS atoms, round(sum(x), 3) + 0.0 AS x FROM ids GROUP BY ALL")
+@_query
 def pdb_text_round_trip(spark, sf_dir):
     a = atoms_from_orders(spark, sf_dir)
     record = F.when(F.col("is_hetero"), "HETATM").otherwise("ATOM  ")
@@ -332,24 +212,40 @@ def pdb_text_round_trip(spark, sf_dir):
     return _rounded(g, "x", digits=3)
 
 
-@_query()
+@_query
+def alternate_locations(spark, sf_dir):
+    """Residues of parsed rows with alternate locations, insertion codes, blank chains and hetero residues."""
+    a = canonicalise(altloc_rows(spark, sf_dir))
+    names = F.array_sort(F.collect_list(F.struct("serial", "atom_name")))
+    g = a.groupBy("structure_id", "res_ord", "chain_index", "residue_index", "residue_id").agg(F.count("*").alias("atoms"), F.concat_ws(",", F.transform(names, lambda x: x["atom_name"])).alias("names"), F.sum("x").alias("x"))
+    return g.select("structure_id", *(F.col(c).cast("int").alias(c) for c in ("res_ord", "chain_index", "residue_index")), "residue_id", "atoms", "names", "x")
+
+
+@_query
 def structure_rmsd_pairs(spark, sf_dir):
-    return superpose.rmsd_pairs(atoms_from_orders(spark, sf_dir), superpose.RmsdParams(atoms="ca"))
+    return _rounded(superpose.rmsd_pairs(atoms_from_orders(spark, sf_dir), superpose.RmsdParams(atoms="ca")), "rmsd")
 
 
-@_query()
+@_query
 def interface_features(spark, sf_dir):
-    return interface.interfaces(atoms_from_orders(spark, sf_dir), grid=False)
+    f = interface.interfaces(stored(atoms_from_orders(spark, sf_dir), "atoms"))
+    return _rounded(_rounded(f, "bsa", "interface_area"), "shape_complementarity", digits=6)
 
 
-@_query()
+@_query
 def residue_features(spark, sf_dir):
-    return plans.residue_features(atoms_from_orders(spark, sf_dir))
+    f = plans.residue_features(atoms_from_orders(spark, sf_dir))
+    return _rounded(_rounded(_rounded(f, "bfactor_mean", "sasa"), "rsa", digits=6), "phi", "psi", "omega", digits=3)
 
 
-@_query()
+@_query
 def structure_features(spark, sf_dir):
-    return plans.features(atoms_from_orders(spark, sf_dir), grid=False)
+    """All 54 features."""
+    f = _centroid(plans.features(atoms_from_orders(spark, sf_dir))).drop("source_path")
+    f = f.withColumn("degrees", _text("degree_distribution")).drop("degree_distribution")
+    long = ("graph_density", "clustering_coefficient", "interface_sc_mean", "interface_sc_max")
+    rest = [c.name for c in f.schema if c.dataType.typeName() == "double" and c.name not in long and not c.name.startswith("bfactor_m")]
+    return _rounded(_rounded(f, *long, digits=6), *rest, "bfactor_mean")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -357,4 +253,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: SQL[k] for k in _QUERIES if k in SQL}

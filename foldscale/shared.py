@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,14 @@ _outside: list[str] = []
 _written: ContextVar[list[str]] = ContextVar("written", default=_outside)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package when the driver runs from another folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a local session gets a temporary folder and a cluster an error."""
     context = spark.sparkContext

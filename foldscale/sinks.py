@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import html
 import json
-import os
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldscale.plans.features import flat
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small text as one file in any store that Spark can write to."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return path
+
+
 def write_lines(df: DataFrame, path: str) -> str:
     """One JSON object per row as a distributed text data set; null fields are kept."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
@@ -31,9 +43,7 @@ def write_features(table: DataFrame, out: str) -> dict:
         ],
     }
     flat(table).write.mode("overwrite").parquet(manifest["parquet_path"])
-    os.makedirs(out, exist_ok=True)
-    with open(f"{out}/manifest.json", "w") as f:
-        json.dump(manifest, f, indent=2)
+    write_text(table.sparkSession, f"{out}/manifest.json", json.dumps(manifest, indent=2))
     return manifest
 
 
@@ -81,10 +91,18 @@ def to_node_link(nodes: list[dict], edges: list[dict]) -> str:
     return json.dumps({"nodes": listed, "links": edges}, indent=2)
 
 
-def to_html(nodes: list[dict], edges: list[dict], title: str) -> str:
-    """A self-contained page: nodes on a circle, edges as lines, names on hover."""
+def to_html(nodes: list[dict], edges: list[dict], title: str, pdb: str = "") -> str:
+    """A self-contained page: the graph with nodes on a circle, names on hover, and the structure's CA trace, turned by
+    dragging. The structure's text is part of the page."""
     data = to_node_link(nodes, edges).replace("</", "<\\/")
-    return f"""<!doctype html><meta charset="utf-8"><title>{title}</title><svg id="g" viewBox="-110 -110 220 220" width="90%"></svg>
+    text = json.dumps(pdb).replace("</", "<\\/")
+    return f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><svg id="g" viewBox="-110 -110 220 220" width="48%"></svg>
+<canvas id="v" width="600" height="600"></canvas>
+<script>const t={text},q=t.split("\\n").filter(l=>/^(ATOM|HETATM)/.test(l)&&l.slice(12,16).trim()=="CA").map(l=>[30,38,46].map(i=>+l.slice(i,i+8)).concat(l[21]));
+const m=[0,1,2].map(i=>q.reduce((s,a)=>s+a[i],0)/(q.length||1)),w=Math.max(1,...q.map(a=>Math.hypot(a[0]-m[0],a[1]-m[1],a[2]-m[2]))),k=document.getElementById("v"),c=k.getContext("2d");let u=0,v=0;
+function draw(){{c.clearRect(0,0,600,600);let o;q.forEach(a=>{{const[x,y,z]=[0,1,2].map(i=>(a[i]-m[i])*280/w),r=x*Math.cos(u)+z*Math.sin(u),d=z*Math.cos(u)-x*Math.sin(u),e=[300+r,300+y*Math.cos(v)-d*Math.sin(v),a[3]];
+if(o&&o[2]==e[2]){{c.beginPath();c.moveTo(o[0],o[1]);c.lineTo(e[0],e[1]);c.stroke()}}c.fillRect(e[0]-2,e[1]-2,4,4);o=e}})}}
+k.onpointermove=e=>{{if(e.buttons){{u+=e.movementX/100;v+=e.movementY/100;draw()}}}};draw()</script>
 <script>const g={data},s=document.getElementById("g"),n=g.nodes.length,p=i=>[100*Math.cos(6.2832*i/n),100*Math.sin(6.2832*i/n)];
 const add=(t,a)=>{{const e=document.createElementNS("http://www.w3.org/2000/svg",t);for(const k in a)e.setAttribute(k,a[k]);s.append(e);return e}};
 g.links.forEach(l=>{{const[a,b]=p(l.source),[c,d]=p(l.target);add("line",{{x1:a,y1:b,x2:c,y2:d,stroke:"#999","stroke-width":.3}})}});
@@ -116,18 +134,13 @@ def matrix_csv(labels: list[str], matrix: list[list]) -> str:
     return "\n".join(rows) + "\n"
 
 
-def write_comparison(result: dict, out: str, kind: str = "json") -> None:
-    os.makedirs(out, exist_ok=True)
+def write_comparison(spark: SparkSession, result: dict, out: str, kind: str = "json") -> None:
     if kind == "json":
-        with open(f"{out}/matrix.json", "w") as f:
-            json.dump(result["matrix"], f, indent=2)
-        with open(f"{out}/deltas.jsonl", "w") as f:
-            f.writelines(json.dumps(d) + "\n" for d in result["deltas"])
+        write_text(spark, f"{out}/matrix.json", json.dumps(result["matrix"], indent=2))
+        write_text(spark, f"{out}/deltas.jsonl", "".join(json.dumps(d) + "\n" for d in result["deltas"]))
     elif kind == "csv":
-        with open(f"{out}/matrix.csv", "w") as f:
-            f.write(matrix_csv(result["matrix"]["labels"], result["matrix"]["rmsd"]))
+        write_text(spark, f"{out}/matrix.csv", matrix_csv(result["matrix"]["labels"], result["matrix"]["rmsd"]))
         keys = ["structure_id", "source_path", *sorted({k for d in result["deltas"] for k in d} - {"structure_id", "source_path"})]
-        with open(f"{out}/deltas.csv", "w") as f:
-            f.write("\n".join([",".join(keys), *(",".join(csv_cell(d.get(k)) for k in keys) for d in result["deltas"])]))
+        write_text(spark, f"{out}/deltas.csv", "\n".join([",".join(keys), *(",".join(csv_cell(d.get(k)) for k in keys) for d in result["deltas"])]))
     else:
         raise ValueError(f"unknown format: {kind}")

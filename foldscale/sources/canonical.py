@@ -6,7 +6,7 @@ is aggregation and windows keyed by structure, so structures never mix and parti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RAW_DDL = (
@@ -16,6 +16,20 @@ RAW_DDL = (
 )
 
 
+#: Between the name and the path in a structure's key.
+SEPARATOR = "\x1f"
+
+
+def name_of(key: str = "structure_id") -> Column:
+    """A structure's name from its key."""
+    return F.substring_index(key, SEPARATOR, 1)
+
+
+def readable(df: DataFrame) -> DataFrame:
+    """With structure names in place of keys, as results show them."""
+    return df.withColumn("structure_id", name_of())
+
+
 def select_altlocs(raw: DataFrame) -> DataFrame:
     """Keep blank alternate locations, and of the others the one with the greatest (occupancy sum, count, letter)."""
     residue = ["structure_id", "chain", "seq_number", "insertion_code", "is_hetero"]
@@ -39,7 +53,11 @@ def select_altlocs(raw: DataFrame) -> DataFrame:
 
 
 def canonicalise(raw: DataFrame, keep_hetero: bool = True) -> DataFrame:
-    """Raw rows (``RAW_DDL``) to atoms with ordinals and ids, in chain, residue and atom order."""
+    """Raw rows (``RAW_DDL``) to atoms with ordinals and ids, in chain, residue and atom order.
+
+    ``structure_id`` is a key: scans append the file's path to the name, so that files of one name are two structures.
+    Ids of chains, residues and atoms begin with the name alone, as results do (``readable``).
+    """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     rows = raw.select(
         "structure_id", "source_path", "source_format", "title",
@@ -64,7 +82,7 @@ def canonicalise(raw: DataFrame, keep_hetero: bool = True) -> DataFrame:
         .withColumn("residue_index", F.dense_rank().over(chain.orderBy(*key[1:])) - 1)
         .withColumn("atom_index", F.row_number().over(residue) - 1)
         .withColumn("residue_name", F.first("residue_name").over(residue))
-        .withColumn("chain_id", F.concat_ws(":", "structure_id", "chain"))
+        .withColumn("chain_id", F.concat_ws(":", name_of(), "chain"))
         .withColumn(
             "residue_id",
             F.concat_ws(":", "chain_id", F.col("seq_number").cast("string"), F.coalesce("insertion_code", F.lit("_"))),

@@ -8,48 +8,60 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldscale.sources.canonical import RAW_DDL, canonicalise
+from foldscale.shared import importable
+from foldscale.sources.canonical import RAW_DDL, SEPARATOR, canonicalise
 from foldscale.sources.formats import SUFFIXES, WALKED, ParseError, parse_bytes, structure_id
 
 _COLUMNS = [c.split()[0] for c in RAW_DDL.split(", ")]
 
 
-def _parsed(batches, errors: bool):
+def parsed(batches, errors: bool):
+    """A frame for every file, so that a task holds one file's atoms and one batch of contents (Spark bounds batches in
+    bytes). A structure's key is its name and its path."""
     for pdf in batches:
-        rows, status = [], []
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            error = None
             try:
                 kind, title, found = parse_bytes(bytes(content), path)
-                sid = structure_id(path)
-                rows += [{"structure_id": sid, "source_path": path, "source_format": kind, "title": title, **r} for r in found]
-                status.append((path, True, None))
             except ParseError as e:
-                status.append((path, False, str(e)))
-        if errors:
-            yield pd.DataFrame(status, columns=["path", "ok", "error"])
-        elif rows:
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+                error = str(e)
+            if errors:
+                yield pd.DataFrame([(path, error is None, error)], columns=["path", "ok", "error"])
+            elif error is None:
+                atoms = pd.DataFrame(found)
+                key = f"{structure_id(path)}{SEPARATOR}{path}"
+                yield atoms.assign(structure_id=key, source_path=path, source_format=kind, title=title)[_COLUMNS]
+
+
+#: Any case of the suffixes that a folder is searched for, as a file pattern.
+_PATTERN = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in WALKED) + "}"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of a file, or of all structure files below a folder (``.ent`` only when named itself)."""
-    low = path.lower()
-    if any(low.endswith(s) for s in SUFFIXES):
-        return spark.read.format("binaryFile").load(path).select("path", "content")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    pattern = "(" + "|".join(s.replace(".", r"\.") for s in WALKED) + ")$"
-    return found.where(F.lower("path").rlike(pattern)).select("path", "content")
+    """path and content of a file, or of all structure files below a folder (``.ent`` only when named itself); other
+    files are not opened."""
+    importable(spark)
+    reader = spark.read.format("binaryFile")
+    if not any(path.lower().endswith(s) for s in SUFFIXES):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", _PATTERN)
+    return reader.load(path).select("path", "content")
+
+
+def require_files(spark: SparkSession, path: str) -> None:
+    """An error if there is nothing to read."""
+    if files(spark, path).select("path").isEmpty():
+        raise ValueError(f"no supported structures found under {path}")
 
 
 def read_atoms(spark: SparkSession, path: str, keep_hetero: bool = True) -> DataFrame:
     """Canonical atoms of every readable file."""
-    raw = files(spark, path).mapInPandas(functools.partial(_parsed, errors=False), RAW_DDL)
+    raw = files(spark, path).mapInPandas(functools.partial(parsed, errors=False), RAW_DDL)
     return canonicalise(raw, keep_hetero)
 
 
 def parse_status(spark: SparkSession, path: str) -> DataFrame:
     """path, ok, error for every file."""
-    return files(spark, path).mapInPandas(functools.partial(_parsed, errors=True), "path string, ok boolean, error string")
+    return files(spark, path).mapInPandas(functools.partial(parsed, errors=True), "path string, ok boolean, error string")
 
 
 def parse_text(spark: SparkSession, text: str, kind: str, path: str | None = None, keep_hetero: bool = True) -> DataFrame:

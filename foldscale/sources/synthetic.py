@@ -6,7 +6,7 @@ an Angstrom as integers) follow from the order key and the customer key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
@@ -68,3 +68,60 @@ def atoms_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("occupancy"), F.col("price").alias("temp_factor"), (F.col("w") + 1).cast("int").alias("serial"),
     )
     return rows.withColumn("atom_id", F.concat_ws(":", "residue_id", F.col("atom_index").cast("string"), "atom_name"))
+
+
+def thinned(atoms: DataFrame) -> DataFrame:
+    """Structures with a thirteenth of their atoms left out."""
+    return atoms.where((F.col("atom_ord") * 7 + F.substring("structure_id", 2, 20).cast("long")) % 13 != 0)
+
+
+def _keyed(spark: SparkSession, sf_dir: str, size: int) -> tuple[DataFrame, Column, Column]:
+    """Orders with the structure number and the place in structures of ``size``."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return o.withColumns({"s": F.floor(F.col("k") / F.lit(size)).cast("long"), "w": F.col("k") % size}), F.col("w"), F.col("c")
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.floor(a / F.lit(b)).cast("long")
+
+
+def lattice_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of structures of 30,000 atoms about a cubic lattice."""
+    o, w, c = _keyed(spark, sf_dir, 30_000)
+    at = {"x": w % 31 * 3000 + (c * 7919) % 997, "y": _div(w, 31) % 31 * 3000 + (c * 104729) % 997, "z": _div(w, 961) * 3000 + (c * 1299709) % 997}
+    sid = F.concat(F.lit("g"), F.col("s").cast("string")).alias("structure_id")
+    return o.select(sid, w.alias("atom_ord"), *((v.cast("double") / F.lit(1000.0)).alias(n) for n, v in at.items()))
+
+
+def altloc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as parsers give them, with alternate locations, insertion codes, a blank chain and hetero residues."""
+    o, w, c = _keyed(spark, sf_dir, 240)
+    r, a = _div(w, 8), (w % 8).cast("int")
+    none = lambda t: F.lit(None).cast(t)
+    chain = F.when(r < 10, "B").when(r < 20, "A").otherwise(" ")
+    alt = F.when(a.isin(4, 6), "A").when(a.isin(5, 7), "B").otherwise(none("string"))
+    name = F.element_at(F.array(*map(F.lit, "N CA C O CB CB CG CG".split())), a + 1)
+    return o.where(c % 7 != 3).select(
+        F.concat(F.lit("v"), F.col("s").cast("string")).alias("structure_id"), none("string").alias("source_path"), F.lit("pdb").alias("source_format"), none("string").alias("title"),
+        chain.alias("chain"), _div(r, 2).cast("int").alias("seq_number"), F.when(r % 2 == 1, "A").otherwise(" ").alias("insertion_code"), (r % 10 == 9).alias("is_hetero"), F.lit("ALA").alias("residue_name"),
+        (a + 1).cast("int").alias("serial"), name.alias("atom_name"), alt.alias("alt_loc"), none("string").alias("element"), (c / F.lit(8.0)).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+        ((c * 7919) % 3 / F.lit(4.0)).alias("occupancy"), F.lit(0.0).alias("temp_factor"),
+    )
+
+
+def ring_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures of aromatic and basic residues of ten atoms each, so that ring interactions occur."""
+    o, w, c = _keyed(spark, sf_dir, 600)
+    r, a = _div(w, 10), (w % 10).cast("int")
+    names = F.array(*map(F.lit, ("PHE", "TYR", "LYS", "TRP")))
+    atoms = {0: "N CA C O CG CD1 CD2 CE1 CE2 CZ", 2: "N CA C O CB CG CD CE NZ HZ", 3: "N CG CD1 CD2 NE1 CE2 CE3 CZ2 CZ3 CH2"}
+    listed = {k: F.array(*map(F.lit, v.split())) for k, v in atoms.items()}
+    atom = F.element_at(F.when(r % 4 == 2, listed[2]).when(r % 4 == 3, listed[3]).otherwise(listed[0]), a + 1)
+    at = {"x": (r % 4) * 3900 + a * 350 + (c * 7919) % 397, "y": (_div(r, 4) % 4) * 3900 + (a * a * 310) % 1700, "z": _div(r, 16) * 3900 + (a * 700) % 1900 + (c * 104729) % 397}
+    sid = F.concat(F.lit("t"), F.col("s").cast("string"))
+    return o.select(
+        sid.alias("structure_id"), F.lit(0).alias("chain_index"), r.cast("int").alias("res_ord"), r.cast("int").alias("residue_index"),
+        F.concat_ws(":", sid, F.lit("A"), r.cast("string"), F.lit("_")).alias("residue_id"), F.element_at(names, (r % 4 + 1).cast("int")).alias("residue_name"), atom.alias("atom_name"),
+        w.alias("atom_ord"), F.concat_ws(":", sid, F.lit("A"), r.cast("string"), F.lit("_"), a.cast("string"), atom).alias("atom_id"),
+        *((v.cast("double") / F.lit(1000.0)).alias(n) for n, v in at.items()),
+    )

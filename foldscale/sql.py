@@ -12,10 +12,29 @@ def features_view(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def _is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether the parsed statement holds no command and writes nothing, wherever in it; DESCRIBE, SHOW and EXPLAIN may be."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:  # the parser's error comes through the gateway
+        raise ValueError(f"not a query: {e}") from e
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if plan.getClass().getSimpleName().startswith(("Describe", "Show", "Explain")):
+        return True
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if command.isInstance(node) or name.startswith(("Insert", "Compound", "Create", "Replace", "Merge", "Delete", "Update")):
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def query(spark: SparkSession, path: str, sql: str) -> DataFrame:
     """A query over ``features``; other statements are refused."""
-    head = sql.lstrip(" (\n\t").split(None, 1)[0].lower() if sql.strip() else ""
-    if head not in ("select", "with", "from", "values", "table", "describe", "show", "explain"):
+    if not _is_query(spark, sql):
         raise ValueError("only queries are allowed")
     features_view(spark, path)
     return spark.sql(sql)

@@ -10,7 +10,7 @@ from foldscale.functions import chemistry as chem
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, spatial, summary, superpose, surface
 from foldscale.plans.features import features, residue_features
 from foldscale.sources import formats
-from foldscale.sources.canonical import canonicalise
+from foldscale.sources.canonical import canonicalise, readable
 from foldscale.sources.scan import parse_status, parse_text, pdb_lines, read_atoms
 
 
@@ -115,10 +115,11 @@ def test_files_formats_and_failures(spark, tmp_path):
     (tmp_path / "in/broken.pdb.gz").write_bytes(b"no gzip")
     (tmp_path / "in/skipped.ent").write_text("\n".join(TRIPEPTIDE))
     (tmp_path / "in/notes.txt").write_text("x")
+    (tmp_path / "in/UPPER.PDB").write_text("\n".join(TRIPEPTIDE))
     atoms = read_atoms(spark, str(tmp_path / "in"))
-    assert {(r["structure_id"], r["n"]) for r in atoms.groupBy("structure_id").agg({"*": "count"}).toDF("structure_id", "n").collect()} == {("a", 12), ("b", 12), ("c", 2)}
+    assert {(r["structure_id"], r["n"]) for r in readable(atoms).groupBy("structure_id").agg({"*": "count"}).toDF("structure_id", "n").collect()} == {("a", 12), ("b", 12), ("c", 2), ("UPPER", 12)}
     status = {r["path"].rsplit("/", 1)[-1]: r["ok"] for r in parse_status(spark, str(tmp_path / "in")).collect()}
-    assert status == {"a.pdb": True, "b.pdb.gz": True, "c.bcif": True, "bad.cif": False, "broken.pdb.gz": False}
+    assert status == {"UPPER.PDB": True, "a.pdb": True, "b.pdb.gz": True, "c.bcif": True, "bad.cif": False, "broken.pdb.gz": False}
     assert read_atoms(spark, str(tmp_path / "in/skipped.ent")).count() == 12
     with pytest.raises(formats.ParseError):
         formats.detect_format("x.xyz")
@@ -253,12 +254,21 @@ def test_features_sinks_sql_and_cli(spark, tmp_path):
     assert rows["a"]["ligand_count"] == 1 and rows["a"]["interface_pair_count"] == 1 and rows["b"]["helix_residue_count"] >= 6
     assert rows["b"]["interface_chain_a"] == "" and rows["b"]["connected_components"] == 1 and len(rows["b"]["centroid"]) == 3
     assert residue_features(read_atoms(spark, src)).count() == 16
-    manifest = json.loads(cli.run(spark, ["featurize", src, "--out", out, "--sqlite", f"{out}/p/runs.db", "--jsonl", f"{out}/p/log.jsonl"]))
+    run_id, text = cli.run(spark, ["featurize", src, "--out", out, "--provenance", "--sqlite", f"{out}/p/runs.db", "--jsonl", f"{out}/p/log.jsonl"]).split("\n", 1)
+    manifest = json.loads(text)
+    assert json.load(open(f"{out}/manifest.json")) == manifest and run_id.startswith("run_id=")
+    log = [json.loads(x) for x in open(f"{out}/p/log.jsonl")]
+    assert [x["event"] for x in log] == ["parse_start", "feature_complete"] * 2 + ["write_complete", "run_complete"] and log[1]["structure_id"] == "a"
     assert spark.read.parquet(manifest["parquet_path"]).schema["centroid"].dataType.typeName() == "string"
     assert "structure_failed" not in open(f"{out}/p/log.jsonl").read() and len(provenance.runs(f"{out}/p/runs.db")) == 1
     assert "| a " in cli.run(spark, ["query", out, "--sql", "SELECT structure_id, atom_count FROM features ORDER BY 1"])
-    with pytest.raises(ValueError):
-        sql.query(spark, out, "DROP VIEW features")
+    refused = ("DROP VIEW features", f"FROM features INSERT OVERWRITE DIRECTORY '{out}/x' USING parquet SELECT *", f"WITH x AS (SELECT 1) INSERT OVERWRITE DIRECTORY '{out}/x' USING parquet SELECT * FROM x",
+               "CREATE TABLE t AS SELECT 1", "INSERT INTO t VALUES (1)", "SET a = b", "BEGIN SELECT 1; END", "", "nonsense")
+    for statement in refused:
+        with pytest.raises(ValueError):
+            sql.query(spark, out, statement)
+    for statement in ("WITH x AS (SELECT * FROM features) SELECT count(*) FROM x", "FROM features SELECT structure_id", "DESCRIBE features", "VALUES (1)", "SELECT 1 UNION SELECT 2 ORDER BY 1"):
+        assert sql.query(spark, out, statement).count() >= 1
     assert "atoms=13" in cli.run(spark, ["parse", f"{src}/a.pdb"])
     for kind in ("graphml", "gml", "json", "html"):
         path = cli.run(spark, ["graph", f"{src}/a.pdb", "--format", kind, "--out", f"{out}/g.{kind}"])
@@ -266,13 +276,148 @@ def test_features_sinks_sql_and_cli(spark, tmp_path):
     assert cli.run(spark, ["rmsd", f"{src}/b.pdb", f"{src}/b.pdb", "--align"]) == "rmsd=0.0000; atoms=12; selection=aligned-ca"
     for command in ("ligands", "interfaces", "quality", "residues"):
         assert isinstance(cli.run(spark, [command, src]), str)
+    with pytest.raises(ValueError, match="more"):
+        cli.run(spark, ["graph", src])
+    assert 'const t="ATOM      1' in open(f"{out}/g.html").read()
     result = json.loads(cli.run(spark, ["compare", src, "--delta-fields", "sasa_total,atom_count"]))
+    assert result["reference_mode"] == "first_input" and result["reference_path"].endswith("in/a.pdb")
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/notes.txt").write_text("x")
+    for command in (["parse"], ["featurize", "--out", out], ["ligands"], ["compare"]):
+        with pytest.raises(ValueError, match="no supported structures"):
+            cli.run(spark, [command[0], str(tmp_path / "none"), *command[1:]])
     assert result["structure_count"] == 2 and result["matrix"]["rmsd"][0][0] == 0.0 and "delta_sasa_total" in result["deltas"][0]
     assert cli.run(spark, ["compare", src, "--format", "csv", "--out", f"{out}/cmp"]) and open(f"{out}/cmp/matrix.csv").read().startswith(",a,b")
     text = sinks.to_pdb(read_atoms(spark, f"{src}/b.pdb"))
     assert len(formats.parse_pdb(text)[1]) == 48 and text.endswith("END\n")
 
 
+def test_files_of_one_name_are_two_structures(spark, tmp_path):
+    for folder, n in (("pdb", 8), ("mmcif", 12)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / f"{folder}/1abc.pdb").write_text("\n".join(TRIPEPTIDE[:n]))
+    atoms = read_atoms(spark, str(tmp_path))
+    rows = features(atoms).orderBy("source_path").collect()
+    assert [(r["structure_id"], r["atom_count"], r["residue_count"]) for r in rows] == [("1abc", 12, 3), ("1abc", 8, 2)]
+    assert {r["chain_id"] for r in atoms.select("chain_id").collect()} == {"1abc:A"}
+    result = cli.run(spark, ["compare", str(tmp_path), "--reference", f"{tmp_path}/pdb/1abc.pdb", "--delta-fields", "atom_count"])
+    result = json.loads(result)
+    assert result["structures"] == ["1abc", "1abc"] and result["reference_path"].endswith("/pdb/1abc.pdb")
+    assert [d["delta_atom_count"] for d in result["deltas"]] == [4]
+
+
+def test_quality_goldens(spark):
+    def model(*rows):
+        return atoms_of(spark, *(line(i + 1, n, "ALA", "A", s, x, y, 0, n[0]) for i, (n, s, x, y) in enumerate(rows)))
+
+    two = model(("N", 1, 0, 0), ("CA", 1, 1.458, 0), ("C", 1, 2.009, 1.42), ("O", 1, 2.5, 2.2), ("N", 2, 3.332, 1.54), ("CA", 2, 3.97, 2.84), ("C", 2, 5.48, 2.7), ("O", 2, 6, 3.6))
+    s = quality.quality_summary(two).first().asDict()
+    assert s.pop("structure_id") == "structure" and s.pop("quality_residue_count") == 2 and set(s.values()) == {0}
+    assert quality.residue_quality(two, all_residues=False).count() == 0
+    panel = model(
+        ("N", 1, 0, 0), ("CA", 1, 0, 0), ("C", 1, 1.5, 0), ("O", 1, 2, 1), ("N", 2, 10, 0), ("CA", 2, 11.458, 0), ("C", 2, 12.009, 1.42), ("O", 2, 13, 1),
+        ("N", 3, 2, 0), ("CA", 3, 2, 0), ("C", 3, 3.5, 0), ("O", 3, 4, 1), ("N", 4, 5, 0), ("CA", 4, 6.458, 0), ("C", 4, 7.009, 1.42),
+    )
+    s = quality.quality_summary(panel).first().asDict()
+    assert (s["quality_residue_count"], s["ramachandran_evaluated_count"], s["clash_pair_count"], s["missing_backbone_residue_count"]) == (4, 0, 12, 1)
+    found = quality.residue_quality(panel, all_residues=False).orderBy("seq_number").collect()
+    assert [(r["seq_number"], r["phi"], r["missing_backbone"], r["clash_count"]) for r in found] == [(1, None, [], 12), (3, None, [], 12), (4, None, ["O"], 0)]
+
+
+def test_compare_goldens(spark):
+    rows = [line(i + 1, "CA", n, "A", i + 1, x, y, 0, "C") for i, (n, x, y) in enumerate((("ALA", 0, 0), ("GLY", 1, 0), ("VAL", 0, 1)))]
+    atoms = None
+    for i, x in enumerate((0.0, 0.5, 1.0), 1):
+        one = atoms_of(spark, line(1, "CA", "ALA", "A", 1, x, 0, 0, "C"), *rows[1:], sid=f"s{i}")
+        atoms = one if atoms is None else atoms.unionByName(one)
+    labels, matrix = superpose.rmsd_matrix(atoms, superpose.RmsdParams(atoms="ca"))
+    want = [[0.0, 0.2183097158051996, 0.4314632312985458], [0.2183097158051996, 0.0, 0.2183097158051996], [0.4314632312985458, 0.2183097158051996, 0.0]]
+    assert labels == ["s1", "s2", "s3"] and np.allclose(matrix, want, atol=1e-6)
+    table = spark.createDataFrame([(f"s{i}", None, 900.0 + 100 * i) for i in (1, 2, 3)], "structure_id string, source_path string, sasa_total double")
+    first = superpose.pick_reference(table)
+    found = superpose.deltas(table, first, ["sasa_total"]).orderBy("structure_id").collect()
+    assert first["structure_id"] == "s1" and [tuple(r) for r in found] == [("s2", None, 1100.0, 1000.0, 100.0), ("s3", None, 1200.0, 1000.0, 200.0)]
+    with pytest.raises(ValueError):
+        superpose.rmsd_matrix(atoms, most=2)
+
+
+def test_surfaces_of_structures_over_many_cubes(spark):
+    rng = np.random.default_rng(5)
+    xyz = rng.uniform(-150, 150, (400, 3)).round(2)
+    xyz[200:] = xyz[:200] + rng.uniform(-2, 2, (200, 3)).round(2)  # neighbours, some of them in other cubes
+    xyz[:4] = [[47.9, 0, 0], [48.1, 0, 0], [-48, 48, 48], [-48.5, 47.5, 48]]
+    rows = [("s", i, i % 3, *map(float, p), "CNOS"[i % 4], "CA") for i, p in enumerate(xyz)]
+    atoms = spark.createDataFrame(rows, "structure_id string, atom_ord long, chain_index int, x double, y double, z double, element string, atom_name string")
+    got = {r["atom_ord"]: (r["points"], r["points_alone"], r["open_low"], r["open_high"]) for r in surface.atom_sasa(atoms).collect()}
+    radius = np.array([{"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}[r[6]] + 1.4 for r in rows])
+    chain = np.array([r[2] for r in rows])
+    for i in range(len(rows)):
+        p = xyz[i] + surface.POINTS * radius[i]
+        inside = ((p[:, None] - xyz[None]) ** 2).sum(axis=2) <= radius**2
+        inside[:, i] = False
+        bits = int.from_bytes(np.packbits(~inside.any(axis=1), bitorder="little").tobytes(), "little")
+        mask = (1 << 64) - 1
+        assert got[i] == ((~inside.any(axis=1)).sum(), (~inside[:, chain == chain[i]].any(axis=1)).sum(), got[i][2], got[i][3])
+        assert (got[i][2] & mask, got[i][3] & mask) == (bits & mask, bits >> 64)
+
+
+def test_graph_statistics_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    nodes, edges, want = [], [], {}
+    for s, n in enumerate((1, 2, 7, 30, 12)):
+        links = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.25}
+        near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)}
+        local = [sum((min(x, y), max(x, y)) in links for x in near[i] for y in near[i] if x < y) / (len(near[i]) * (len(near[i]) - 1) / 2) if len(near[i]) > 1 else 0.0 for i in range(n)]
+        left, parts = set(range(n)), 0
+        while left:
+            todo, parts = [left.pop()], parts + 1
+            while todo:
+                new = near[todo.pop()] & left
+                left -= new
+                todo += new
+        want[f"s{s}"] = (len(links), len(links) / (n * (n - 1) / 2) if n > 1 else 0.0, sum(local) / n, parts, [len(near[i]) for i in range(n)])
+        nodes += [(f"s{s}", 3 * i) for i in range(n)]
+        edges += [(f"s{s}", 3 * a, 3 * b) for a, b in links]
+    got = contacts.graph_statistics(spark.createDataFrame(nodes, "structure_id string, node int"), spark.createDataFrame(edges, "structure_id string, a int, b int")).collect()
+    assert {r[0] for r in got} == set(want)
+    for r in got:
+        e = want[r[0]]
+        assert (r[1], r[4], r[5]) == (e[0], e[3], e[4]) and r[2:4] == pytest.approx(e[1:3])
+
+
+def test_bonds_of_residues_without_ca(spark):
+    rows = [x for i, x in enumerate(helix()) if i not in (5, 13, 29)]  # CA of three residues
+    a = atoms_of(spark, *rows)
+    found = [sorted(map(tuple, backbone.hydrogen_bonds(a, grid=g).collect())) for g in (None, False)]
+    assert found[0] == found[1] and len(found[0]) >= 6
+
+
+def test_pairs_of_structures_once(spark):
+    a = atoms_of(spark, *TRIPEPTIDE, sid="s0")
+    for i in range(1, 9):
+        a = a.unionByName(atoms_of(spark, *TRIPEPTIDE, sid=f"s{i}"))
+    got = [(r["id_a"], r["id_b"]) for r in superpose.rmsd_pairs(a, partitions=3).collect()]
+    assert len(got) == len(set(got)) == 36 and all(x < y for x, y in got)
+
+
+def test_package_is_found_from_other_folders(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "a.pdb").write_text("\n".join(TRIPEPTIDE))
+    code = f"""import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from foldscale.sources.scan import read_atoms
+from foldscale.operators.surface import atom_sasa
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+print(atom_sasa(read_atoms(spark, {str(tmp_path)!r})).count())"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("12"), out.stderr[-2000:]
+
+
 def test_stream_adds_new_files(spark, tmp_path):
     from foldscale.streaming.incremental import feature_stream
 
@@ -291,7 +436,8 @@ def test_registered_queries_against_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"create view orders as select * from '{folder}/orders.parquet'")
-    for name in ("structure_summary", "residue_contact_graph", "typed_interactions", "steric_clashes", "backbone_hydrogen_bonds"):
+    assert set(queries.oracle_sql()) == set(queries.queries())
+    for name in ("structure_features", "alternate_locations", "quality_of_incomplete_models", "structure_rmsd_pairs", "residue_interaction_graph"):
         got, want = queries.queries()[name](spark, folder).toPandas(), con.sql(queries.oracle_sql()[name]).df()
         c = sorted(want.columns)
         rows = lambda f: sorted(map(str, f[c].astype(object).itertuples(index=False, name=None)))
