@@ -8,7 +8,8 @@ import pytest
 from foldscale import cli, provenance, sinks, sql
 from foldscale.functions import chemistry as chem
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, spatial, summary, superpose, surface
-from foldscale.plans.features import features, residue_features
+from foldscale.plans.features import features
+from foldscale.shared import stored
 from foldscale.sources import formats
 from foldscale.sources.canonical import canonicalise, readable
 from foldscale.sources.scan import parse_status, parse_text, pdb_lines, read_atoms
@@ -248,18 +249,16 @@ def test_features_sinks_sql_and_cli(spark, tmp_path):
     (tmp_path / "in/a.pdb").write_text("\n".join([*TRIPEPTIDE, line(20, "N1", "HEM", "B", 1, 2, 2, 3, "N", "HETATM")]))
     (tmp_path / "in/b.pdb").write_text("\n".join(helix()))
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    table = features(read_atoms(spark, src))
-    assert len(table.columns) == 56
-    rows = {r["structure_id"]: r for r in table.collect()}
-    assert rows["a"]["ligand_count"] == 1 and rows["a"]["interface_pair_count"] == 1 and rows["b"]["helix_residue_count"] >= 6
-    assert rows["b"]["interface_chain_a"] == "" and rows["b"]["connected_components"] == 1 and len(rows["b"]["centroid"]) == 3
-    assert residue_features(read_atoms(spark, src)).count() == 16
     run_id, text = cli.run(spark, ["featurize", src, "--out", out, "--provenance", "--sqlite", f"{out}/p/runs.db", "--jsonl", f"{out}/p/log.jsonl"]).split("\n", 1)
     manifest = json.loads(text)
     assert json.load(open(f"{out}/manifest.json")) == manifest and run_id.startswith("run_id=")
     log = [json.loads(x) for x in open(f"{out}/p/log.jsonl")]
     assert [x["event"] for x in log] == ["parse_start", "feature_complete"] * 2 + ["write_complete", "run_complete"] and log[1]["structure_id"] == "a"
-    assert spark.read.parquet(manifest["parquet_path"]).schema["centroid"].dataType.typeName() == "string"
+    table = spark.read.parquet(manifest["parquet_path"])
+    assert table.schema["centroid"].dataType.typeName() == "string" and len(table.columns) == 56
+    rows = {r["structure_id"]: r for r in table.collect()}
+    assert rows["a"]["ligand_count"] == 1 and rows["a"]["interface_pair_count"] == 1 and rows["b"]["helix_residue_count"] >= 6
+    assert rows["b"]["interface_chain_a"] == "" and rows["b"]["connected_components"] == 1 and len(json.loads(rows["b"]["centroid"])) == 3
     assert "structure_failed" not in open(f"{out}/p/log.jsonl").read() and len(provenance.runs(f"{out}/p/runs.db")) == 1
     assert "| a " in cli.run(spark, ["query", out, "--sql", "SELECT structure_id, atom_count FROM features ORDER BY 1"])
     refused = ("DROP VIEW features", f"FROM features INSERT OVERWRITE DIRECTORY '{out}/x' USING parquet SELECT *", f"WITH x AS (SELECT 1) INSERT OVERWRITE DIRECTORY '{out}/x' USING parquet SELECT * FROM x",
@@ -274,8 +273,10 @@ def test_features_sinks_sql_and_cli(spark, tmp_path):
         path = cli.run(spark, ["graph", f"{src}/a.pdb", "--format", kind, "--out", f"{out}/g.{kind}"])
         assert len(open(path).read()) > 100
     assert cli.run(spark, ["rmsd", f"{src}/b.pdb", f"{src}/b.pdb", "--align"]) == "rmsd=0.0000; atoms=12; selection=aligned-ca"
-    for command in ("ligands", "interfaces", "quality", "residues"):
-        assert isinstance(cli.run(spark, [command, src]), str)
+    for command, n in (("ligands", 1), ("interfaces", 1), ("quality", 0), ("residues", 16)):
+        records = [json.loads(x) for x in cli.run(spark, [command, src]).splitlines()]
+        assert len(records) == n or command == "quality", command
+        assert {r["structure_id"] for r in records} <= {"a", "b"}
     with pytest.raises(ValueError, match="more"):
         cli.run(spark, ["graph", src])
     assert 'const t="ATOM      1' in open(f"{out}/g.html").read()
@@ -287,7 +288,8 @@ def test_features_sinks_sql_and_cli(spark, tmp_path):
         with pytest.raises(ValueError, match="no supported structures"):
             cli.run(spark, [command[0], str(tmp_path / "none"), *command[1:]])
     assert result["structure_count"] == 2 and result["matrix"]["rmsd"][0][0] == 0.0 and "delta_sasa_total" in result["deltas"][0]
-    assert cli.run(spark, ["compare", src, "--format", "csv", "--out", f"{out}/cmp"]) and open(f"{out}/cmp/matrix.csv").read().startswith(",a,b")
+    sinks.write_comparison(spark, result, f"{out}/cmp", "csv")
+    assert open(f"{out}/cmp/matrix.csv").read().startswith(",a,b") and open(f"{out}/cmp/deltas.csv").read().startswith("structure_id,source_path,")
     text = sinks.to_pdb(read_atoms(spark, f"{src}/b.pdb"))
     assert len(formats.parse_pdb(text)[1]) == 48 and text.endswith("END\n")
 
@@ -297,13 +299,13 @@ def test_files_of_one_name_are_two_structures(spark, tmp_path):
         (tmp_path / folder).mkdir()
         (tmp_path / f"{folder}/1abc.pdb").write_text("\n".join(TRIPEPTIDE[:n]))
     atoms = read_atoms(spark, str(tmp_path))
-    rows = features(atoms).orderBy("source_path").collect()
+    table = stored(features(atoms), "features")
+    rows = table.orderBy("source_path").collect()
     assert [(r["structure_id"], r["atom_count"], r["residue_count"]) for r in rows] == [("1abc", 12, 3), ("1abc", 8, 2)]
     assert {r["chain_id"] for r in atoms.select("chain_id").collect()} == {"1abc:A"}
-    result = cli.run(spark, ["compare", str(tmp_path), "--reference", f"{tmp_path}/pdb/1abc.pdb", "--delta-fields", "atom_count"])
-    result = json.loads(result)
-    assert result["structures"] == ["1abc", "1abc"] and result["reference_path"].endswith("/pdb/1abc.pdb")
-    assert [d["delta_atom_count"] for d in result["deltas"]] == [4]
+    first = superpose.pick_reference(table, f"{tmp_path}/pdb/1abc.pdb")
+    assert first["source_path"].endswith("/pdb/1abc.pdb") and superpose.rmsd_matrix(atoms)[0] == ["1abc", "1abc"]
+    assert [d["delta_atom_count"] for d in superpose.deltas(table, first, ["atom_count"]).collect()] == [4]
 
 
 def test_quality_goldens(spark):
