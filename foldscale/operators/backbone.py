@@ -42,6 +42,7 @@ def hydrogen_bonds(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
     """Backbone bonds (Kabsch and Sander 1983): CO of residue ``i`` with NH of residue ``j``, energy below -0.5."""
     by = Window.partitionBy("structure_id", "chain_index").orderBy("residue_index")
     b = backbone(atoms).withColumn("pC", F.lag("C").over(by)).withColumn("pO", F.lag("O").over(by))
+    b = stored(b, "backbone")  # read by six scans below
     d = sub(xyz("pC"), xyz("pO"))
     length = F.sqrt(dot(d, d))
     h = [(p + q / F.when(length > 1e-6, length)).alias(c) for c, p, q in zip("xyz", xyz("N"), d, strict=True)]
