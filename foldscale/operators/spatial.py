@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldscale.shared import importable
+from foldscale.shared import importable, joined
 
 AXES = ("x", "y", "z")
 #: Edge of the cubes that kernels work on, in Angstrom: some 90,000 atoms of protein at most.
@@ -44,7 +44,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, cutoff: float, grid: bool | N
             b = b.withColumn(f"_c{c}", _cells(F.col(f"{c}_b"), cutoff, width))
         keys += [f"_c{c}" for c in AXES]
     dx, dy, dz = (F.col(f"{c}_a") - F.col(f"{c}_b") for c in AXES)
-    out = a.join(b, keys).withColumn("distance", F.sqrt(dx * dx + dy * dy + dz * dz)).where(F.col("distance") <= cutoff)
+    out = joined(a, b, keys).withColumn("distance", F.sqrt(dx * dx + dy * dy + dz * dz)).where(F.col("distance") <= cutoff)
     return out.drop(*keys[1:])
 
 

@@ -50,6 +50,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input, never a broadcast: Spark estimates a side from compressed columns of
+    its files, before rows are dealt out to cells, and would gather what has many times that size on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     context = spark.sparkContext
     while paths:

@@ -9,6 +9,7 @@ from foldscale import cli, provenance, sinks, sql
 from foldscale.functions import chemistry as chem
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, spatial, summary, superpose, surface
 from foldscale.plans.features import features
+from foldscale.queries import queries
 from foldscale.shared import stored
 from foldscale.sources import formats
 from foldscale.sources.canonical import canonicalise, readable
@@ -444,3 +445,10 @@ def test_registered_queries_against_sql(spark):
         c = sorted(want.columns)
         rows = lambda f: sorted(map(str, f[c].astype(object).itertuples(index=False, name=None)))
         assert rows(got) == rows(want), name
+
+
+@pytest.mark.parametrize("name", ["atom_contact_graph", "large_structure_contacts"])
+def test_distance_joins_gather_no_side_on_the_driver(spark, name):
+    """The estimate of a side is that of its file's columns, far below the rows in its cells."""
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
