@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldscale.functions.geometry import distance, dot, sub, torsion, xyz
 from foldscale.operators.spatial import cross_pairs
-from foldscale.shared import stored
+from foldscale.shared import joined, stored
 from foldscale.sources.canonical import residues
 
 _ID = ["structure_id", "res_ord", "chain_index", "chain_id", "residue_index", "residue_name", "seq_number"]
@@ -60,7 +60,7 @@ def hydrogen_bonds(atoms: DataFrame, grid: bool | None = None) -> DataFrame:
     near = near.select("structure_id", *(F.col(f"{c}_{s}").alias(c) for c, s in zip("icojnh", "aaabbb", strict=True)))
     # residues without CA meet all others: few, if any
     for x, y in ((acceptors.where("ca_i is null"), donors), (acceptors.where("ca_i is not null"), donors.where("ca_j is null"))):
-        near = near.unionByName(x.join(y, "structure_id").select(*names))
+        near = near.unionByName(joined(x, y, "structure_id").select(*names))
     on, ch = distance(xyz("o"), xyz("n")), distance(xyz("c"), xyz("h"))
     oh, cn = distance(xyz("o"), xyz("h")), distance(xyz("c"), xyz("n"))
     apart = (on >= 1e-3) & (ch >= 1e-3) & (oh >= 1e-3) & (cn >= 1e-3)
@@ -79,7 +79,7 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     by = Window.partitionBy("structure_id").orderBy("res_ord")
     beside = lambda k: (F.lead("res_ord", k).over(by) == F.col("res_ord") + k, F.lead("chain_index", k).over(by))
     (before, first), (after, last) = beside(-1), beside(1)
-    place = residues(atoms).select(*columns).join(flags, ["structure_id", "res_ord"], "left")
+    place = joined(residues(atoms).select(*columns), flags, ["structure_id", "res_ord"], "left")
     middle = F.coalesce(before & after & (first == F.col("chain_index")) & (last == F.col("chain_index")), F.lit(False))
     helix = []
     for n, _ in turns:  # two turns in a row, i - 1 -> i - 1 + n and i -> i + n, in one chain
@@ -88,18 +88,18 @@ def secondary_structure(atoms: DataFrame) -> DataFrame:
     chain = stored(place.select(*columns, middle.alias("middle"), *helix), "residues")
     # bridges between x and y, and which of them must lie inside a chain
     p, q = hb.select("structure_id", "i", "j"), hb.select("structure_id", F.col("i").alias("k"), F.col("j").alias("l"))
-    two = p.join(q.withColumn("j", F.col("k")), ["structure_id", "j"])  # i -> j -> l
+    two = joined(p, q.withColumn("j", F.col("k")), ["structure_id", "j"])  # i -> j -> l
     side = two.where("l = i or l = i + 2").select("structure_id", F.when(F.col("l") == F.col("i"), F.col("i")).otherwise(F.col("i") + 1).alias("x"), F.col("j").alias("y"), (F.col("l") != F.col("i")).alias("in_x"), F.lit(False).alias("in_y"))
-    wide = p.join(q.select("structure_id", (F.col("k") + 2).alias("j"), (F.col("l") - 2).alias("i")), ["structure_id", "i", "j"])
+    wide = joined(p, q.select("structure_id", (F.col("k") + 2).alias("j"), (F.col("l") - 2).alias("i")), ["structure_id", "i", "j"])
     wide = wide.select("structure_id", (F.col("i") + 1).alias("x"), (F.col("j") - 1).alias("y"), F.lit(True).alias("in_x"), F.lit(True).alias("in_y"))
     found = side.unionByName(wide)
     for c in ("x", "y"):
-        found = found.join(chain.select("structure_id", F.col("res_ord").alias(c), F.col("chain_index").alias(f"chain_{c}"), F.col("middle").alias(f"middle_{c}")), ["structure_id", c])
+        found = joined(found, chain.select("structure_id", F.col("res_ord").alias(c), F.col("chain_index").alias(f"chain_{c}"), F.col("middle").alias(f"middle_{c}")), ["structure_id", c])
     found = found.where("(middle_x or not in_x) and (middle_y or not in_y) and x != y and (chain_x != chain_y or abs(x - y) > 2)")
     strands = found.select("structure_id", F.explode(F.array("x", "y")).alias("res_ord")).distinct().withColumn("strand", F.lit(True))
     state = [F.max(f"h{n}").over(by.rangeBetween(1 - n, 0)) for n, _ in turns]
     state = F.when(state[0], "H").when(F.col("strand"), "E").when(state[1], "G").when(state[2], "I").otherwise("C")
-    return chain.join(strands, ["structure_id", "res_ord"], "left").select(*columns, state.alias("secondary_structure"))
+    return joined(chain, strands, ["structure_id", "res_ord"], "left").select(*columns, state.alias("secondary_structure"))
 
 
 def chain_strings(atoms: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldscale.operators.spatial import map_blocks, self_pairs
+from foldscale.shared import joined
 from foldscale.sources.canonical import residues
 
 # Which kind an edge keeps; ties go to the shorter distance.
@@ -78,7 +79,7 @@ def interface_graph(atoms: DataFrame, cutoff: float = 8.0, interactions: DataFra
         chains = residues(atoms).select("structure_id", "res_ord", "chain_index")
         typed = _typed(atoms, interactions, ring_edges)
         for side in ("a", "b"):
-            typed = typed.join(chains.select("structure_id", F.col("res_ord").alias(side), F.col("chain_index").alias(f"chain_{side}")), ["structure_id", side])
+            typed = joined(typed, chains.select("structure_id", F.col("res_ord").alias(side), F.col("chain_index").alias(f"chain_{side}")), ["structure_id", side])
         edges = edges.unionByName(typed.where("chain_a != chain_b").select(*_EDGE))
     return _best(edges)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldscale.functions import chemistry as chem
 from foldscale.operators.spatial import cross_pairs
 from foldscale.operators.surface import PROBE, atom_sasa, shape_complementarity
-from foldscale.shared import stored
+from foldscale.shared import joined, stored
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def interfaces(atoms: DataFrame, params: InterfaceParams | None = None, areas: D
     params = params or InterfaceParams()
     areas = areas if areas is not None else atom_sasa(atoms)
     pairs = chain_contacts(atoms, params.contact_distance, grid)
-    delta = atoms.select("structure_id", "atom_ord", "chain_label").join(areas, ["structure_id", "atom_ord"]).select(
+    delta = joined(atoms.select("structure_id", "atom_ord", "chain_label"), areas, ["structure_id", "atom_ord"]).select(
         "structure_id", "atom_ord", "chain_label", F.greatest(F.col("sasa_alone") - F.col("sasa"), F.lit(0.0)).alias("delta")
     )
     per_chain = delta.groupBy("structure_id", "chain_label").agg(F.sum("delta").alias("delta"))
@@ -59,12 +59,10 @@ def interfaces(atoms: DataFrame, params: InterfaceParams | None = None, areas: D
         .where("chain_label_a != chain_label_b")
         .groupBy("structure_id", F.col("atom_ord_a").alias("atom_ord"), F.col("chain_label_b").alias("other"))
         .agg(F.min("distance").alias("distance"))
-        .join(atoms.select("structure_id", "atom_ord", F.col("chain_label").alias("own"), "residue_id", "x", "y", "z", radius), ["structure_id", "atom_ord"])
-        .join(areas.select("structure_id", "atom_ord", F.greatest(F.col("sasa_alone") - F.col("sasa"), F.lit(0.0)).alias("delta"), "open_low", "open_high"), ["structure_id", "atom_ord"])
-        .withColumns({"chain_a": F.least("own", "other"), "chain_b": F.greatest("own", "other")})
-        .drop("other")
     )
-    near = stored(near, "patches")
+    near = joined(near, atoms.select("structure_id", "atom_ord", F.col("chain_label").alias("own"), "residue_id", "x", "y", "z", radius), ["structure_id", "atom_ord"])
+    near = joined(near, areas.select("structure_id", "atom_ord", F.greatest(F.col("sasa_alone") - F.col("sasa"), F.lit(0.0)).alias("delta"), "open_low", "open_high"), ["structure_id", "atom_ord"])
+    near = stored(near.withColumns({"chain_a": F.least("own", "other"), "chain_b": F.greatest("own", "other")}).drop("other"), "patches")
     scores = shape_complementarity(
         near.where(F.col("distance") <= params.sc_distance).select("structure_id", "chain_a", "chain_b", (F.col("own") == F.col("chain_a")).alias("first"), "x", "y", "z", "radius", "open_low", "open_high"),
         params.sc_distance,
@@ -79,18 +77,13 @@ def interfaces(atoms: DataFrame, params: InterfaceParams | None = None, areas: D
         )
     )
     keys = ["structure_id", "chain_a", "chain_b"]
-    return (
-        pairs.join(side("a"), ["structure_id", "chain_a"])
-        .join(side("b"), ["structure_id", "chain_b"])
-        .join(patch, keys, "left")
-        .join(scores, keys, "left")
-        .select(
-            *keys, "contact_count",
-            *(F.coalesce(f"interface_residue_count_{s}", F.lit(0)).cast("long").alias(f"interface_residue_count_{s}") for s in "ab"),
-            (F.col("delta_a") + F.col("delta_b")).alias("bsa"),
-            F.coalesce("interface_area", F.lit(0.0)).alias("interface_area"),
-            F.coalesce("shape_complementarity", F.lit(0.0)).alias("shape_complementarity"),
-        )
+    out = joined(joined(pairs, side("a"), ["structure_id", "chain_a"]), side("b"), ["structure_id", "chain_b"])
+    return joined(joined(out, patch, keys, "left"), scores, keys, "left").select(
+        *keys, "contact_count",
+        *(F.coalesce(f"interface_residue_count_{s}", F.lit(0)).cast("long").alias(f"interface_residue_count_{s}") for s in "ab"),
+        (F.col("delta_a") + F.col("delta_b")).alias("bsa"),
+        F.coalesce("interface_area", F.lit(0.0)).alias("interface_area"),
+        F.coalesce("shape_complementarity", F.lit(0.0)).alias("shape_complementarity"),
     )
 
 

@@ -9,6 +9,7 @@ from foldscale.functions import chemistry as chem
 from foldscale.functions.chemistry import LigandFilter
 from foldscale.operators.spatial import cross_pairs
 from foldscale.operators.surface import atom_sasa
+from foldscale.shared import joined
 
 COUNTS = ("hydrogen_bond", "salt_bridge", "hydrophobic", "contact")
 
@@ -45,12 +46,12 @@ def ligand_features(atoms: DataFrame, ligands: LigandFilter | None = None, bindi
     areas = areas if areas is not None else atom_sasa(atoms)
     mine = atoms.where(ligands.column(F.col("is_hetero"), F.col("residue_name")))
     keys = ["structure_id", "res_ord"]
-    base = mine.join(areas, ["structure_id", "atom_ord"]).groupBy(*keys, "residue_id", "chain_label", "residue_name", "seq_number").agg(F.sum("sasa").alias("sasa"))
+    base = joined(mine, areas, ["structure_id", "atom_ord"]).groupBy(*keys, "residue_id", "chain_label", "residue_name", "seq_number").agg(F.sum("sasa").alias("sasa"))
     pairs = _pairs(atoms, ligands, max(4.5, binding_distance), grid).withColumnRenamed("res_ord_a", "res_ord")
     site = pairs.where((F.col("distance") <= binding_distance) & ~F.col("is_hetero_b")).groupBy(*keys).agg(F.array_sort(F.collect_set("residue_id_b")).alias("site"))
     counts = _counts(pairs, keys)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return base.join(site, keys, "left").join(counts, keys, "left").select(
+    return joined(joined(base, site, keys, "left"), counts, keys, "left").select(
         "structure_id", F.col("residue_id").alias("ligand_id"), "residue_name", F.col("chain_label").alias("chain_id"), "seq_number", "sasa",
         F.coalesce("site", F.array().cast("array<string>")).alias("binding_site_residues"),
         F.create_map(*(x for n in COUNTS for x in (F.lit(n), zero(n)))).alias("interactions"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from foldscale.functions import chemistry as chem
 from foldscale.functions.geometry import sphere_points
 from foldscale.operators.spatial import cubes, map_blocks, neighbours
+from foldscale.shared import joined
 
 PROBE = 1.4
 POINTS = np.array(sphere_points(92))
@@ -82,8 +83,7 @@ def atom_sasa(atoms: DataFrame) -> DataFrame:
 def residue_sasa(atoms: DataFrame, areas: DataFrame) -> DataFrame:
     """Area per residue, and relative to the residue type's maximum (null for other residues)."""
     return (
-        atoms.select("structure_id", "atom_ord", "res_ord", "residue_name")
-        .join(areas.select("structure_id", "atom_ord", "sasa"), ["structure_id", "atom_ord"])
+        joined(atoms.select("structure_id", "atom_ord", "res_ord", "residue_name"), areas.select("structure_id", "atom_ord", "sasa"), ["structure_id", "atom_ord"])
         .groupBy("structure_id", "res_ord", "residue_name")
         .agg(F.sum("sasa").alias("sasa"))
         .withColumn("rsa", F.col("sasa") / chem.max_area(F.col("residue_name")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldscale.functions.chemistry import LigandFilter
 from foldscale.operators import backbone, contacts, interactions, interface, ligands, quality, summary, surface
 from foldscale.operators.interface import InterfaceParams
-from foldscale.shared import stored
+from foldscale.shared import joined, stored
 from foldscale.sources.canonical import readable, residues
 
 _ZERO_LONG = (
@@ -31,11 +31,9 @@ def residue_features(atoms: DataFrame, areas: DataFrame | None = None) -> DataFr
     areas = areas if areas is not None else surface.atom_sasa(atoms)
     keys = ["structure_id", "res_ord"]
     r = residues(atoms).select(*keys, "residue_id", "chain_id", "residue_name", "seq_number", "bfactor_mean")
-    return readable(
-        r.join(surface.residue_sasa(atoms, areas).drop("residue_name"), keys)
-        .join(backbone.secondary_structure(atoms).select(*keys, "secondary_structure"), keys)
-        .join(backbone.dihedrals(atoms).select(*keys, "phi", "psi", "omega"), keys)
-    )
+    r = joined(r, surface.residue_sasa(atoms, areas).drop("residue_name"), keys)
+    r = joined(r, backbone.secondary_structure(atoms).select(*keys, "secondary_structure"), keys)
+    return readable(joined(r, backbone.dihedrals(atoms).select(*keys, "phi", "psi", "omega"), keys))
 
 
 def features(
@@ -74,7 +72,7 @@ def features(
     ]
     out = paths
     for p in parts:
-        out = out.join(p, "structure_id", "left")
+        out = joined(out, p, "structure_id", "left")
     out = out.fillna(0, [*_ZERO_LONG]).fillna(0.0, [*_ZERO_DOUBLE]).fillna("", ["interface_chain_a", "interface_chain_b"])
     names = sorted(c for c in out.columns if c not in ("structure_id", "source_path"))
     return readable(out.select("structure_id", "source_path", *names))

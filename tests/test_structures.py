@@ -452,3 +452,9 @@ def test_distance_joins_gather_no_side_on_the_driver(spark, name):
     """The estimate of a side is that of its file's columns, far below the rows in its cells."""
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["interface_features", "structure_features"])
+def test_feature_joins_gather_no_side_on_the_driver(spark, name):
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
