@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 import os
@@ -9,7 +10,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -147,17 +148,97 @@ def compare_pair(letters_a: str, xyz_a: np.ndarray, letters_b: str, xyz_b: np.nd
     return superpose(xyz_a, xyz_b).rmsd, len(xyz_a), selection
 
 
+def _largest(horn_sums: np.ndarray) -> np.ndarray:
+    """The largest eigenvalue of Horn's matrix for each of the 3 x 3 sums."""
+    xx, xy, xz, yx, yy, yz, zx, zy, zz = horn_sums.reshape(-1, 9).T
+    rows = [
+        [xx + yy + zz, yz - zy, zx - xz, xy - yx],
+        [yz - zy, xx - yy - zz, xy + yx, zx + xz],
+        [zx - xz, xy + yx, yy - xx - zz, yz + zy],
+        [xy - yx, zx + xz, yz + zy, zz - xx - yy],
+    ]
+    return np.linalg.eigvalsh(np.stack([np.stack(r, axis=-1) for r in rows], axis=-2))[:, -1]
+
+
+def _fits(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The rmsd of all ``left`` with all ``right`` structures; NaN where selections differ, are empty or not finite."""
+    out = np.full((len(left), len(right)), np.nan)
+    sizes = [np.array([len(x) if np.isfinite(x).all() else -1 for x in xs], np.int64) for xs in (left, right)]
+    for n in np.intersect1d(*sizes):
+        if n <= 0:
+            continue
+        at = [np.flatnonzero(size == n) for size in sizes]
+        a, b = (np.stack([xs[i] for i in k]) for xs, k in zip((left, right), at, strict=True))
+        a, b = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+        sums = a.transpose(0, 2, 1).reshape(-1, n) @ b.transpose(1, 0, 2).reshape(n, -1)  # (a, axis) x (b, axis)
+        sums = sums.reshape(len(a), 3, len(b), 3).transpose(0, 2, 3, 1)
+        energy = (a * a).sum(axis=(1, 2))[:, None] + (b * b).sum(axis=(1, 2))
+        best = _largest(sums).reshape(energy.shape)
+        out[np.ix_(*at)] = np.sqrt(np.maximum(energy - 2 * best, 0.0) / n)
+    return out
+
+
+def _each(left, right, letters_left, letters_right, params):
+    """As ``_fits``, with every pair aligned."""
+    out = np.full((len(left), len(right)), np.nan)
+    for i, (x, s) in enumerate(zip(left, letters_left, strict=True)):
+        for j, (y, t) in enumerate(zip(right, letters_right, strict=True)):
+            with contextlib.suppress(RmsdError):
+                out[i, j] = compare_pair(s, x, t, y, params)[0]
+    return out
+
+
+def _profiles_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The coordinates of each row."""
+    axes = [batch.column(batch.schema.get_field_index(c)) for c in "xyz"]
+    ends = np.cumsum(axes[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = np.column_stack([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in axes])
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def _cell(key: tuple[int, int], held: list[pa.RecordBatch], params: RmsdParams, pairs: int = 65_536):
+    """All pairs of a cell: of one block's structures, or of two blocks'."""
+    xyz = [x for b in held for x in _profiles_of(b)]
+    rows = pa.Table.from_batches(held)
+    own = rows["o"].to_numpy()
+    ids, letters = rows["structure_id"].combine_chunks(), rows["letters"].to_pylist()
+    rank = np.empty(len(own), np.int64)
+    rank[np.array(sorted(range(len(own)), key=ids.to_pylist().__getitem__), np.int64)] = np.arange(len(own))
+    left, right = (np.flatnonzero(own == k) for k in key)
+    step = max(1, pairs // max(len(right), 1))
+    for a in range(0, len(left), step):
+        some = left[a : a + step]
+        mine, others = [xyz[i] for i in some], [xyz[j] for j in right]
+        if params.align or params.local:
+            rmsd = _each(mine, others, [letters[i] for i in some], [letters[j] for j in right], params)
+        else:
+            rmsd = _fits(mine, others)
+        i, j = (k.ravel() for k in np.meshgrid(some, right, indexing="ij"))
+        keep = rank[i] < rank[j] if key[0] == key[1] else np.ones(len(i), bool)
+        i, j, rmsd = i[keep], j[keep], rmsd.ravel()[keep]
+        first = rank[i] < rank[j]
+        names = [ids.take(pa.array(np.where(first, x, y))) for x, y in ((i, j), (j, i))]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(rmsd, mask=np.isnan(rmsd))], ["id_a", "id_b", "rmsd"])
+
+
 def _compared(batches, params):
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            a, b = (np.column_stack([getattr(r, f"{c}_{s}") for c in "xyz"]).reshape(-1, 3) for s in "ab")
-            try:
-                rmsd = compare_pair(r.letters_a, a, r.letters_b, b, params)[0]
-            except RmsdError:
-                rmsd = None
-            out.append((r.id_a, r.id_b, rmsd))
-        yield pd.DataFrame(out, columns=["id_a", "id_b", "rmsd"]).astype({"rmsd": "float64"})
+    """Cells of rows sorted by ``i`` and ``j``, one at a time."""
+    key, held = None, []
+    for batch in batches:
+        i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "ij")
+        begins = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])))) if len(i) else []
+        for a, b in zip(begins, [*begins[1:], len(i)], strict=True):
+            if (now := (int(i[a]), int(j[a]))) != key:
+                if held:
+                    yield from _cell(key, held, params)
+                key, held = now, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _cell(key, held, params)
+
+
+#: Structures, and bytes of coordinates, in a block of ``rmsd_pairs``.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
 
 
 def rmsd_pairs(atoms: DataFrame, params: RmsdParams | None = None, partitions: int | None = None) -> DataFrame:
@@ -166,16 +247,18 @@ def rmsd_pairs(atoms: DataFrame, params: RmsdParams | None = None, partitions: i
     Every pair is the operator's result, so the pair count is its output; pairs are dealt over all tasks.
     """
     params = params or RmsdParams(align=True)
-    importable(atoms.sparkSession)
+    spark = atoms.sparkSession
+    importable(spark)
     p = stored(profiles(atoms, params), "profiles")
-    side = lambda s: p.select(F.col("structure_id").alias(f"id_{s}"), F.col("letters").alias(f"letters_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in "xyz"))
-    # blocks of structures meet in cells (i <= j): each structure is copied once per block, each pair meets in one cell
-    blocks = partitions or max(1, math.isqrt(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    own = lambda s: F.pmod(F.xxhash64(f"id_{s}"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = lambda s: side(s).withColumn("o", own(s)).withColumn("t", other).withColumns({"i": F.least("o", "t"), "j": F.greatest("o", "t"), f"o_{s}": F.col("o")}).drop("o", "t")
-    pairs = dealt("a").join(dealt("b"), ["i", "j"]).where("id_a < id_b and (i = j or o_a != o_b)").drop("i", "j", "o_a", "o_b")
-    return pairs.mapInPandas(functools.partial(_compared, params=params), "id_a string, id_b string, rmsd double")
+    # blocks of structures meet in cells (i <= j): each structure is copied once per block, each pair meets in one cell, and
+    # a cell is compared as a whole, so that no pair ever carries its structures
+    count, points = p.agg(F.count("*"), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = partitions or max(1, math.isqrt(tasks), -(-count // BLOCK), -(-24 * points // BLOCK_BYTES))
+    dealt = p.withColumn("o", F.pmod(F.xxhash64("structure_id"), F.lit(blocks)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("o", "t").alias("i"), F.greatest("o", "t").alias("j"), "o", "structure_id", "letters", *"xyz")
+    sorted_cells = dealt.repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
+    return sorted_cells.mapInArrow(functools.partial(_compared, params=params), "id_a string, id_b string, rmsd double")
 
 
 def rmsd_matrix(atoms: DataFrame, params: RmsdParams | None = None, most: int = 5000) -> tuple[list[str], list[list[float | None]]]:

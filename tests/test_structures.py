@@ -458,3 +458,26 @@ def test_distance_joins_gather_no_side_on_the_driver(spark, name):
 def test_feature_joins_gather_no_side_on_the_driver(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rmsd_pairs_carry_no_structures(spark):
+    """Cells are compared as a whole: no join, so nothing is gathered and no pair's row holds two structures."""
+    plan = queries()["structure_rmsd_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+
+
+def test_rmsd_pairs_of_unequal_structures(spark):
+    """Blocks of structures of several sizes, an empty selection among them, give what single superpositions give."""
+    rng = np.random.default_rng(5)
+    xyz = {f"é{k}": rng.normal(size=(n, 3)) * 9 for k, n in enumerate((4, 7, 4, 0, 7, 1, 4, 0, 1))}
+    rows = [(s, i, "CA", *map(float, p)) for s, points in xyz.items() for i, p in enumerate(points)]
+    rows += [(s, 99, "N", 0.0, 0.0, 0.0) for s in xyz]
+    a = spark.createDataFrame(rows, "structure_id string, atom_ord long, atom_name string, x double, y double, z double")
+    for parts in (None, 1, 5):
+        got = {(r["id_a"], r["id_b"]): r["rmsd"] for r in superpose.rmsd_pairs(a, superpose.RmsdParams(), parts).collect()}
+        assert sorted(got) == [(s, t) for s in sorted(xyz) for t in sorted(xyz) if s < t]
+        for (s, t), rmsd in got.items():
+            if len(xyz[s]) != len(xyz[t]) or not len(xyz[s]):
+                assert rmsd is None
+            else:
+                assert rmsd == pytest.approx(superpose.superpose(xyz[s], xyz[t]).rmsd, abs=1e-6)
