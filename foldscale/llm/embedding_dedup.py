@@ -6,14 +6,11 @@ In the sorted rows each vector is compared, exactly and in double precision, wit
 rows at the borders of sorted partitions meet those of the next one in a small second step. Verified pairs are
 united across passes into components, each reported as a star, in proportion to its members.
 
-Windows are bounded, so they miss pairs, the more the larger and denser the table is. The rest is found by a step
-whose recall depends on neither: in each of ``tables`` tables a vector's bucket is the signs of ``bits`` random
-hyperplanes, and all pairs of a bucket that the sweep has not joined are compared, however many they are (dealt
-out by ``runtime.cells``). Two vectors at an angle a share a bucket with probability (1 - a / pi) ** bits, so the
-number of tables follows from ``bits``, the threshold and ``MISS``: a pair right at the threshold is left out with
-probability ``MISS`` at most, a closer one with less. ``bits`` only sets the cost: up to 8 blocks of rows (65,536
-at 64 dimensions) it is 0, one bucket with all rows, so that every pair is compared; above, the cheapest for the
-measured bucket sizes is taken.
+Windows are bounded, so they miss pairs, the more the larger and denser the table is. An exact step finds the rest, by
+one rule for tables of all sizes: rows are dealt out to blocks of ``BUCKET_BYTES`` at most, each written to a file, and
+every two blocks are compared in full, for links that join two of the sweep's components. So the result depends on
+neither windows nor size; the step's work grows as the square of the number of different vectors (some 130
+operations in single precision a pair at 64 dimensions), its disk as the table.
 
 Equal vectors are one class from the start, with its size as weight, so a third of all rows that are copies cost no
 pairs. Every component is dealt out as cells of two blocks and all its pairs are compared, so a vector's ``n_links``
@@ -28,10 +25,11 @@ their names.
 from __future__ import annotations
 
 import functools
-import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +43,18 @@ from foldscale.llm.runtime import (
     map_groups,
     map_rows,
     materialize,
+    new_path,
     number,
     salted_join,
     schema_of,
     smallest_reachable,
     to_batch,
 )
+from foldscale.llm.token_store import qualified
 
 BITS, BLOCK = 60, 512
-#: Bytes of vectors in a block of a bucket, chance of missing a pair at the threshold, tables searched in one job.
-BUCKET_BYTES, MISS, ROUND = 1 << 22, 1e-4, 8
+#: Bytes of vectors in a block of the exact step.
+BUCKET_BYTES = 1 << 22
 _planes: dict = {}
 
 
@@ -202,66 +202,60 @@ def _counted(key, rows, threshold):
     return [ids[n > 0], n[n > 0]]
 
 
-def tables_for(bits: int, threshold: float) -> int:
-    """Tables after which a pair at the threshold has met in none with probability ``MISS`` at most."""
-    if not bits:
-        return 1
-    meets = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    return 1 if meets == 1 else math.ceil(math.log(MISS) / math.log1p(-meets)) if meets > 1e-6 else 10**9
-
-
-def _bucketed(batch, bits, first, last):
-    """The bucket of each vector in the tables ``first`` to ``last``."""
-    out: list[list] = [[], [], [], []]
-    dims, raw, keys = number(column(batch, "dim")), column(batch, "vector").to_pylist(), number(column(batch, "k"))
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    for dim in np.unique(dims).tolist():
-        at = np.flatnonzero(dims == dim)
-        x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(-1, dim)
-        for t in range(first, last):
-            normal = np.random.default_rng((77, dim, t)).standard_normal((BITS, dim))[:bits]
-            for c, v in zip(out, (keys[at], np.full(len(at), dim), np.full(len(at), t), ((x @ normal.T) > 0) @ weights), strict=True):
-                c.append(v)
+def _store_block(key, rows, uri):
+    """A file with a block's labels and vectors; its name goes to the manifest."""
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root, recursive=True)
+    dim, block = int(key[0]), int(key[1])
+    label, name = number(column(rows, "label")).astype("<i8"), f"{dim}-{block}"
+    temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as f:
+        f.write(label.tobytes())
+        f.write(b"".join(column(rows, "vector").to_pylist()))
+    fs.move(temporary, f"{root}/{name}")
+    return [[dim], [block]]
+
+
+def _read_block(dim, block, uri):
+    """Labels, vectors, and the vectors in single precision."""
+    fs, root = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(f"{root}/{dim}-{block}") as f:
+        raw = f.read()
+    n = len(raw) // (8 * (dim + 1))
+    x = np.frombuffer(raw, "<f8", n * dim, 8 * n).reshape(n, dim)
+    return np.frombuffer(raw, "<i8", n), x, x.astype(np.float32)
+
+
+def _joined_cells(batch, uri, threshold):
+    """Which components the links of two blocks join."""
+    out: list[list] = [[], []]
+    for dim, i, j in zip(*(column(batch, c).to_pylist() for c in ("dim", "cell_i", "cell_j")), strict=True):
+        left = _read_block(dim, i, uri)
+        found = _joined_labels(left, left if i == j else _read_block(dim, j, uri), threshold)
+        if found is not None:
+            out[0].append(found[0])
+            out[1].append(found[1])
     return [np.concatenate(c) for c in out] if out[0] else None
 
 
-def cheapest_bits(unit: DataFrame, threshold: float, block: int, dim: int) -> int:
-    """The number of signs with the least estimated cost, from the sizes of one table's buckets."""
-    tried = range(0, 31, 2)
-    codes = map_rows(unit, functools.partial(_bucketed, bits=30, first=0, last=1), "k long, dim int, pass int, code long", 2048)
-    sizes = (
-        codes.select("dim", "code", F.explode(F.array(*map(F.lit, tried))).alias("bits"))
-        .groupBy("dim", "bits", F.expr("code & (shiftleft(1L, bits) - 1)").alias("code"))
-        .agg(F.count("*").cast("double").alias("m"))
-    )
-    cost = {
-        r["bits"]: tables_for(r["bits"], threshold) * (1.2e-5 * r["copies"] + (1e-9 + 1e-10 * dim) * r["pairs"])
-        for r in sizes.groupBy("bits")
-        .agg(F.sum(F.col("m") * F.ceil(F.col("m") / block)).alias("copies"), F.sum(F.col("m") * F.col("m") / 2).alias("pairs"))
-        .collect()
-    }
-    return min(cost, key=cost.get)
-
-
-def _joined_labels(key, rows, threshold, strip=512):
-    """Which components the links of a cell join, each with the smallest."""
-    names, own = np.unique(number(column(rows, "label")), return_inverse=True)
+def _joined_labels(left, right, threshold, strip=512):
+    """Which components the links between two blocks join, each with the smallest. Single precision sorts out most pairs,
+    with room for its error; double precision decides."""
+    names, own = np.unique(np.concatenate((left[0], right[0])), return_inverse=True)
     if len(names) < 2:
         return None
-    dim, block = int(number(column(rows, "dim"))[0]), number(column(rows, "block"))
-    x = np.frombuffer(b"".join(column(rows, "vector").to_pylist()), np.float64).reshape(-1, dim)
-    rough, slack = x.astype(np.float32), np.float32((dim + 8) * 1.2e-7)
-    left, right = np.flatnonzero(block == key[-2]), np.flatnonzero(block == key[-1])
-    root, other = np.arange(len(names)), rough[right].T.copy()
-    for a in range(0, len(left), strip):
-        i, j = np.nonzero(rough[left[a : a + strip]] @ other >= np.float32(threshold) - slack)
-        i, j = left[a + i], right[j]
+    own_left, own_right = own[: len(left[0])], own[len(left[0]) :]
+    x, y, rough, slack = left[1], right[1], left[2], np.float32((left[1].shape[1] + 8) * 1.2e-7)
+    root, other = np.arange(len(names)), right[2].T.copy()
+    for a in range(0, len(x), strip):
+        i, j = np.nonzero(rough[a : a + strip] @ other >= np.float32(threshold) - slack)
+        i = a + i
         for c in range(0, len(i), 65_536):
             p, q = i[c : c + 65_536], j[c : c + 65_536]
-            new = root[own[p]] != root[own[q]]
+            new = root[own_left[p]] != root[own_right[q]]
             p, q = p[new], q[new]
-            sure = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-            p, q = root[own[p[sure]]], root[own[q[sure]]]
+            sure = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+            p, q = root[own_left[p[sure]]], root[own_right[q[sure]]]
             while (root[p] != root[q]).any():
                 least = np.minimum(root[p], root[q])
                 np.minimum.at(root, p, least)
@@ -273,38 +267,26 @@ def _joined_labels(key, rows, threshold, strip=512):
 
 
 def unjoined(unit: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``: components that a link joins, from all pairs that share a bucket in some table."""
-    rows, dim = unit.agg(F.count("*"), F.max("dim")).first()
-    most = max(64, BUCKET_BYTES // (8 * (dim or 1)))
-    bits = cheapest_bits(unit, threshold, most, dim) if rows > 8 * most else 0
-    block = min(most, max(BLOCK, -(-rows // 8)))
-    tables, found = tables_for(bits, threshold), []
-    for t in range(0, tables, ROUND):
-        kernel = functools.partial(_bucketed, bits=bits, first=t, last=min(t + ROUND, tables))
-        codes = map_rows(unit, kernel, "k long, dim int, pass int, code long", 2048).join(labels, "k")
-        buckets = (
-            codes.groupBy("dim", "pass", "code")
-            .agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y"))
-            .where("x != y")
-            .drop("x", "y")
-        )
-        dealt = (
-            codes.join(buckets, ["dim", "pass", "code"])
-            .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-            .join(unit.select("k", "vector"), "k")
-        )
-        found.append(
-            materialize(
-                map_groups(
-                    cells(dealt, "block", "blocks").select("dim", "pass", "code", "cell_i", "cell_j", "block", "label", "vector"),
-                    ["dim", "pass", "code", "cell_i", "cell_j"],
-                    functools.partial(_joined_labels, threshold=threshold),
-                    "a long, b long",
-                ),
-                "vector-rest",
-            )
-        )
-    return functools.reduce(DataFrame.unionByName, found)
+    """``(a, b)``: components that a link joins, from all pairs of vectors of one length, whatever their number.
+
+    A block is a file that the tasks of all its cells read, so that no vector is copied to them."""
+    spark = unit.sparkSession
+    uri = qualified(spark, new_path(spark, "vector-files"))
+    rows = unit.select("k", "dim", "vector").join(labels, "k")
+    fit = F.greatest(F.lit(64), F.floor(F.lit(BUCKET_BYTES) / (8 * F.col("dim"))))
+    blocks = (
+        rows.groupBy("dim")
+        .agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+        .where("x != y")
+        .select("dim", F.greatest(F.ceil(F.col("n") / fit), F.least(F.lit(8), F.ceil(F.col("n") / BLOCK))).cast("int").alias("blocks"))
+    )
+    dealt = rows.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    files = map_groups(dealt.select("dim", "block", "label", "vector"), ["dim", "block"], functools.partial(_store_block, uri=uri), "dim int, block int")
+    files = materialize(files, "vector-blocks")
+    other = F.broadcast(files.withColumnRenamed("block", "cell_j"))  # a row for 4 MB of vectors
+    met = files.withColumnRenamed("block", "cell_i").join(other, "dim").where("cell_i <= cell_j")
+    met = met.repartition(min(max(1, met.count()), 20_000))  # a task for each cell; each is much work
+    return materialize(map_rows(met, functools.partial(_joined_cells, uri=uri, threshold=threshold), "a long, b long", 1), "vector-rest")
 
 
 def near_duplicates(

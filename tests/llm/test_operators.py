@@ -476,6 +476,25 @@ def test_embedding_dedup_beyond_the_windows(spark, monkeypatch):
         assert wrong <= (0 if size > 1 << 20 else 2)
 
 
+@pytest.mark.parametrize("size", [1 << 22, 1 << 12])
+def test_embedding_dedup_is_exact_at_any_size(spark, monkeypatch, size):
+    """Pairs just above the threshold, which a window of 1 seldom sees: many blocks find them all, as few do, and no chance
+    of missing them is left that could be raised."""
+    from foldscale.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BUCKET_BYTES", size)
+    monkeypatch.setattr(embedding_dedup, "MISS", 0.5, raising=False)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((1200, 64)))
+    aside = rng.standard_normal((1200, 64))
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    y = 0.90001 * x + np.sqrt(1 - 0.90001**2) * aside
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table, passes=1, window=1).collect()}
+    assert got == {i: (1, i % 1200) for i in range(2400)}
+
+
 # ---- 7 ----
 
 
