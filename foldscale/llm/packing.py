@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldscale.llm.encoding import encoder
+from foldscale.llm.encoding import column_encoder
 from foldscale.llm.runtime import column, id_of, key_of, map_groups, map_rows, materialize, number
 
 _PIECES = "k long, piece int, start long, length int, ids_crc32 long"
@@ -37,7 +37,7 @@ def _cut(batch, tokenizer, end_id, capacity):
     ids = column(batch, "k").to_pylist()
     end = np.array([end_id], "<u4").tobytes()
     out: list[list] = [[] for _ in range(5)]
-    for k, raw in zip(ids, encoder(tokenizer).encode([t or "" for t in column(batch, "text").to_pylist()]), strict=True):
+    for k, raw in zip(ids, column_encoder(tokenizer).encode(column(batch, "text")), strict=True):
         raw += end
         n = len(raw) // 4
         at, piece = 0, 0
@@ -132,7 +132,7 @@ def pack(
             docs.select(key_of("doc_id").alias("k"), "text"),
             functools.partial(_cut, tokenizer=tokenizer, end_id=end_id, capacity=capacity),
             _PIECES,
-            128,
+            4096,
         ),
         "pieces",
     )

@@ -555,6 +555,59 @@ def test_packing_round_trip(spark):
     assert pack(empty(spark), path).count() == 0
 
 
+def test_packing_encodes_odd_texts_as_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from foldscale.llm import encoding
+
+    path = public.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(16)
+    parts = ["the", " The", "\n", " ", "\t", "\r\n", "'s", "don't", "été,", "ß", "1a", "a1", ".", "!!", "_x", "<|endoftext|>", "<|endoftext", "|>", "\0"]
+    parts += ["\x1c", "\x85", "\xa0", "\u3000", "\u200b", "中文", "日本。", "\u0301", "😀", "ª", "²", "x" * 70]
+    texts = [rng.choice([None, "", "".join(rng.choices(parts, k=9)), " " + " ".join(rng.choices(parts, k=9)) + "\n"]) for _ in range(1500)]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rows = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    for run, most in ((1, 5), (300, 5), (4_000_000, 200_000)):
+        monkeypatch.setattr(encoding, "_RUN", run)
+        made = encoding.ColumnEncoder(path, most)
+        assert made.cuts
+        assert list(made.encode(rows)) == want and list(made.encode(rows)) == want
+    # a tokenizer of another kind is not cut that way
+    other = encoding.ColumnEncoder(public.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    assert not other.cuts
+    assert list(other.encode(rows)) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_costs_less_than_a_python_object_a_word():
+    import time
+
+    import pyarrow as pa
+
+    from foldscale.llm.encoding import UnitEncoder
+    from foldscale.llm.packing import _cut
+
+    path = public.path("byte_bpe_50k.json")
+    rng = random.Random(26)
+    lexicon = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(lexicon, k=2000)) for _ in range(100)]
+    batch = pa.record_batch({"k": list(range(100)), "text": texts})
+    plain = UnitEncoder(path)
+
+    def least(f) -> float:
+        f()  # learns the words
+        spent = []
+        for _ in range(5):
+            at = time.process_time()
+            f()
+            spent.append(time.process_time() - at)
+        return min(spent)
+
+    assert least(lambda: _cut(batch, path, 2, 1024)) < 0.8 * least(lambda: [plain.encode(texts[a : a + 128]) for a in range(0, 100, 128)])
+
+
 # ---- 8 ----
 
 
