@@ -33,6 +33,8 @@ _encoders: dict = {}
 _column_encoders: dict = {}
 #: Bytes of text whose units are told apart at a time; a longer text is one run.
 _RUN = 4_000_000
+#: Bytes of the longest unit that outlives its run in the memo.
+_REMEMBERED = 64
 _LETTER, _SIGN, _BLANK, _FEED = 1, 2, 3, 4
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[33:127] = _SIGN
@@ -187,7 +189,8 @@ class ColumnEncoder:
             and by.get("type") == "ByteLevel"
             and by.get("use_regex", True)
             and not by["add_prefix_space"]
-            and (made["model"]["type"], made["model"]["dropout"]) == ("BPE", None)
+            and (made["model"]["type"], made["model"].get("dropout")) == ("BPE", None)
+            and all(self.tokenizer.token_to_id(c) is not None for c in _shown().values())
         )
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.shown = _shown()
@@ -232,14 +235,13 @@ class ColumnEncoder:
             odd.append(at[none[which]])
         odd += [[m.start()] for s in self.added for m in re.finditer(re.escape(s), raw)]
         whole = set(np.searchsorted(ends, np.concatenate(odd), "right").tolist()) if odd else ()
-        ids = ids.tobytes()
         cut = place[np.searchsorted(at, ends)].tolist()
         spans = ends.tolist()
         for n in range(1, len(spans)):
             if n in whole:
                 yield self._whole(raw[spans[n - 1] : spans[n]].decode())
             else:
-                yield ids[cut[n - 1] : cut[n]]
+                yield ids[cut[n - 1] : cut[n]].tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -255,6 +257,9 @@ class ColumnEncoder:
             memo.update(again)
             self._learn([u for u in fresh if u not in again])
             found = list(map(memo.__getitem__, units))
+            for u in fresh:
+                if len(u) > _REMEMBERED:
+                    del memo[u]
         return found
 
     def _learn(self, units: list[bytes], run: int = 2000) -> None:

@@ -574,6 +574,7 @@ def test_packing_encodes_odd_texts_as_the_library(monkeypatch):
         made = encoding.ColumnEncoder(path, most)
         assert made.cuts
         assert list(made.encode(rows)) == want and list(made.encode(rows)) == want
+        assert max(map(len, [*made.memo, *made.old])) <= 64  # unbroken text is not remembered
     # a tokenizer of another kind is not cut that way
     other = encoding.ColumnEncoder(public.path("word_bpe_49k.json"))
     library = Tokenizer.from_file(public.path("word_bpe_49k.json"))
